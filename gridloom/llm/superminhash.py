@@ -8,9 +8,10 @@
    is first checked against one smaller class (the band's least, that of most
    shared bands), on the full sets; confirmed links are merged by a distributed
    union-find that works on contracted edges.
-4. Bands that then still hold several components are compared pair by pair,
+4. Groups of candidates that then still hold several components are compared
    block against block; pairs of different components whose signatures do not
-   rule out the threshold are checked on the full sets and merged too.
+   rule out the threshold are checked on the full sets, within the task that
+   holds both blocks, which returns only links that join components.
 
 A pair at the threshold is missed with probability (1 - t**r)**b, 5e-8 for
 t = 0.8, r = 4 and b = 32. No bucket, partner or candidate count is capped.
@@ -40,6 +41,8 @@ ELEMENTS = 1 << 16
 #: Ids up to this number are broadcast (16 MB) to fetch their documents; more are joined.
 BROADCAST_IDS = 1 << 20
 PAIR_BLOCK = 512
+#: Candidates that chains of shared bands connect are compared as one group up to this size, band by band beyond.
+LARGE_GROUP = 1 << 14
 
 
 def shingles(buf: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -182,21 +185,31 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.
         yield pa.concat_tables(held).combine_chunks()
 
 
-def _block_pairs(batches: Iterator[pa.RecordBatch], floor: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components in two blocks of a band that agree in at least so many slots."""
-    for group in sorted_groups(batches, "key", "i", "j"):
+def _block_links(batches: Iterator[pa.RecordBatch], percent: int, floor: int) -> Iterator[pa.RecordBatch]:
+    """Links that join components, found between two blocks of a group: pairs that agree in at least ``floor`` slots are checked on the full sets, unless links found before have joined them."""
+    for group in sorted_groups(batches, "g", "i", "j"):
         sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint16).reshape(len(group), -1)
         rep, comp, block = (group.column(c).to_numpy() for c in ("rep", "comp", "block"))
+        sets = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
+        size = np.array([len(x) for x in sets])
+        _, comp = np.unique(comp, return_inverse=True)
         i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        out: list[tuple[np.ndarray, np.ndarray]] = []
+        out: list[tuple[int, int]] = []
         for x in left.tolist():
             other = right[(comp[right] != comp[x]) & ((rep[right] > rep[x]) | (i != j))]
-            other = other[(sig[other] == sig[x]).sum(1) >= floor]
-            if len(other):
-                out.append((np.minimum(rep[x], rep[other]), np.maximum(rep[x], rep[other])))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[0] for o in out])), pa.array(np.concatenate([o[1] for o in out]))], names=["a", "b"])
+            other = other[np.minimum(size[other], size[x]) * 100 >= np.maximum(size[other], size[x]) * percent]
+            alike = (sig[other] == sig[x]).sum(1)
+            other = other[np.argsort(-alike, kind="stable")][: int((alike >= floor).sum())]
+            for y in other.tolist():
+                if comp[x] == comp[y]:
+                    continue
+                at = np.minimum(np.searchsorted(sets[x], sets[y]), size[x] - 1)
+                shared = int((sets[x][at] == sets[y]).sum())
+                if 100 * shared >= percent * (size[x] + size[y] - shared):
+                    out.append((min(rep[x], rep[y]), max(rep[x], rep[y])))
+                    comp[comp == comp[y]] = comp[x]
+        yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], names=["a", "b"])
 
 
 def _fetch_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -208,10 +221,8 @@ def _fetch_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(lambda it: _sets(it, k), "rep long, shingles binary")
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those pairs (a, b) whose full sets meet the threshold."""
-    ids = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
-    sets = common.cut(_fetch_sets(docs, ids, k), "sets")
     joined = pairs.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("set_b")), "b").join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("set_a")), "a")
     return joined.select("a", "b", "set_a", "set_b").mapInArrow(lambda it: _verify(it, percent), "a long, b long")
 
@@ -266,20 +277,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     members = common.cut(bands.join(shared, "key"), "members")
     best = members.where("rep <> hub").groupBy("rep", "hub").count().groupBy("rep").agg(F.max_by("hub", F.struct("count", -F.col("hub"))).alias("hub"))
     pairs = common.cut(best.select(F.col("hub").alias("a"), F.col("rep").alias("b")), "pairs")
-    first = components(_confirmed(docs, pairs, k, percent))
-    # bands that still hold several components
-    placed = members.join(first.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("comp"))
-    placed = common.cut(placed, "placed")
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
-    left = placed.join(common.cut(mixed, "mixed"), "key").join(classes.select("rep", "sig"), "rep")
-    n_blocks = F.ceil(F.col("n") / PAIR_BLOCK).cast("int")
-    left = left.withColumn("block", F.pmod(F.xxhash64("rep"), n_blocks).cast("int")).withColumn("blocks", n_blocks)
+    sets = common.cut(_fetch_sets(docs, members.select("rep").distinct(), k), "sets")
+    first = components(_confirmed(pairs, sets, percent))
+    # groups of candidates that still hold several components: what shared bands connect, or single bands where that is too large
+    near = components(members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")))
+    large = near.groupBy("root").count().where(F.col("count") > LARGE_GROUP).select(F.col("root").alias("group"))
+    grouped = members.select("key", "rep").join(near.select(F.col("node").alias("rep"), F.col("root").alias("group")), "rep").join(large.withColumn("large", F.lit(True)), "group", "left")
+    grouped = grouped.select(F.when(F.col("large"), F.col("key")).otherwise(F.col("group")).alias("g"), "rep").distinct()
+    grouped = common.cut(grouped.join(first.withColumnRenamed("node", "rep"), "rep", "left").select("g", "rep", F.coalesce("root", "rep").alias("comp")), "groups")
+    mixed = common.cut(grouped.groupBy("g").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n")).where("x < y").select("g", "n"), "mixed")
+    left = grouped.join(mixed, "g").withColumn("blocks", F.ceil(F.col("n") / PAIR_BLOCK).cast("int"))
+    left = left.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).join(classes.select("rep", "sig"), "rep").join(sets, "rep")
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = left.select("key", "rep", "comp", "sig", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    dealt = left.repartition(common.parallelism(docs.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    left = left.select("g", "rep", "comp", "sig", "shingles", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    dealt = left.repartition(common.parallelism(docs.sparkSession), "g", "i", "j").sortWithinPartitions("g", "i", "j")
     floor = int(SURELY_LESS * percent / 100 * SLOTS)
-    more = common.cut(dealt.mapInArrow(lambda it: _block_pairs(it, floor), "a long, b long").distinct(), "pairs")
-    links = _confirmed(docs, more, k, percent)
+    links = common.cut(dealt.mapInArrow(lambda it: _block_links(it, percent, floor), "a long, b long"), "links")
     to_comp = first.select(F.col("node").alias("a"), F.col("root").alias("ra"))
     in_comp = links.join(to_comp, "a", "left").join(to_comp.select(F.col("a").alias("b"), F.col("ra").alias("rb")), "b", "left")
     second = components(in_comp.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
