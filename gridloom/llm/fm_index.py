@@ -228,15 +228,16 @@ def cut_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lo: int, hi
     return b"".join(out)
 
 
-def _scan(batches: Iterator[pa.RecordBatch], book: dict, texts: bool, carry: bool) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], book: dict, texts: bool, carry: bool, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """names: the columns to pass on, text among them. carry: results of earlier phrase blocks follow them."""
     for batch in batches:
-        buf, offsets = kernels.text_buffer(batch.column("text"))
+        buf, offsets = kernels.text_buffer(batch.column(names.index("text")))
+        before = {n: batch.column(len(names) + i) for i, n in enumerate(RESULT)} if carry else {}
         n_words, n_hit, items, spans, clean = [], [], [], [], []
         for lo, hi in kernels.blocks(offsets, SHARD_BYTES):
             own, part = offsets[lo : hi + 1] - offsets[lo], buf[offsets[lo] : offsets[hi]]
             starts, ends, bounds = kernels.word_bounds(part, own, kernels.ALNUM_SEP)
             hit, document, item = shard_hits(kernels.word_hashes(part, starts, ends, True), bounds, book)
-            edge = np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8))
             edge_at = np.searchsorted(document, np.arange(hi - lo + 1))
             for k in range(hi - lo):
                 a, b = int(bounds[k]), int(bounds[k + 1])
@@ -247,7 +248,7 @@ def _scan(batches: Iterator[pa.RecordBatch], book: dict, texts: bool, carry: boo
                     edge = np.flatnonzero(np.diff(np.concatenate([[False], own_hit, [False]]).astype(np.int8)))
                     runs = [(int(x), int(y)) for x, y in zip(edge[::2], edge[1::2], strict=True)]
                 if carry:
-                    runs, found = _merged(runs, batch.column("spans")[lo + k].as_py()), sorted({*found, *batch.column("items")[lo + k].as_py()})
+                    runs, found = _merged(runs, before["spans"][lo + k].as_py()), sorted({*found, *before["items"][lo + k].as_py()})
                 n_words.append(b - a)
                 n_hit.append(sum(y - x for x, y in runs))
                 items.append(sorted(found))
@@ -256,15 +257,14 @@ def _scan(batches: Iterator[pa.RecordBatch], book: dict, texts: bool, carry: boo
                     clean.append(cut_spans(part, starts, ends, int(own[k]), int(own[k + 1]), runs, a).decode() if runs else None)
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column("doc_id"),
-                batch.column("text"),
+                *batch.columns[: len(names)],
                 pa.array(n_words, pa.int64()),
                 pa.array(n_hit, pa.int64()),
                 pa.array(items, pa.list_(pa.string())),
                 pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
                 pa.array(clean if texts else [None] * batch.num_rows, pa.string()),
             ],
-            names=["doc_id", "text", "n_words", "n_hit", "items", "spans", "clean_text"],
+            names=[*names, *RESULT],
         )
 
 
@@ -278,28 +278,29 @@ def _merged(runs: list[tuple[int, int]], more: list[dict]) -> list[tuple[int, in
     return out
 
 
-SCHEMA = "doc_id {id}, text string, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>, clean_text string"
+RESULT = ("n_words", "n_hit", "items", "spans", "clean_text")
+SCHEMA = "n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>, clean_text string"
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, texts: bool = False, block_bytes: int = PHRASE_BLOCK_BYTES) -> DataFrame:
-    """Per document: n_words, n_hit, items (sorted as strings), spans (word ranges to remove), and clean_text (with texts, where anything is removed).
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, texts: bool = False, block_bytes: int = PHRASE_BLOCK_BYTES, carried: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Per document the carried columns, n_words, n_hit, items (sorted as strings), spans (word ranges to remove), and clean_text (with texts, where anything is removed).
 
     The benchmark is read block by block, so that what is broadcast has a bound
     whatever its size; with more than one block, the blocks' passes follow each
     other and every second pass is written out, so that a task never holds more than two.
     """
     spark = docs.sparkSession
-    kind = dict(docs.dtypes)["doc_id"]
-    schema = SCHEMA.format(id=kind)
-    df, carry = common.only(docs, "doc_id", "text"), False
+    names = [*carried, *([] if "text" in carried else ["text"])]
+    df, carry = common.only(docs, *names), False
+    schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", " + SCHEMA
     rows = common.only(benchmark, "item_id", "text")
     for n, block in enumerate([*common.small_rows(rows, block_bytes, lambda r: 4 * len(r.text or ""))] or [[]]):
         shared = spark.sparkContext.broadcast(phrases([(r.item_id, r.text) for r in block], window))
         if n and n % 2 == 0:
             df = common.cut(df, "fm")
-        df = df.mapInArrow(lambda it, s=shared, c=carry: _scan(it, s.value, texts, c), schema)
+        df = df.mapInArrow(lambda it, s=shared, c=carry: _scan(it, s.value, texts, c, names), schema)
         carry = True
-    return df.drop("text") if not texts else df
+    return df if "text" in carried or texts else df.drop("text")
 
 
 def digest(result: DataFrame) -> DataFrame:

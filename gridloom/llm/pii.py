@@ -109,22 +109,45 @@ def bootstrap(edges: DataFrame, rounds: int = ROUNDS, min_instances: int = MIN_I
     return scores.join(graph.where("seed = 1").select("v").distinct(), "v", "left_anti").where(F.col("score") >= confidence)
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """doc_id, row_key, n_chars, base and all spans (arrays of s, e, k, v) for every document."""
+_NO_SPANS = "cast(array() as array<struct<s:int,e:int,k:int,v:string>>)"
+#: Documents with discovered spans up to this number are broadcast to their texts; more are joined.
+BROADCAST_ROWS = 1 << 16
+
+
+def _scanned(docs: DataFrame) -> DataFrame:
+    """(doc_id, row_key, base, x): base spans, and in x all base entities and candidates with the patterns before them."""
     text = F.coalesce("text", F.lit(""))
     own = common.only(docs, "doc_id", "text").select("doc_id", text.alias("text"), F.xxhash64("doc_id", text).alias("row_key"))
     own = own.withColumn("base", base_spans(F.col("text")))
     tokens = F.when(F.rlike("text", F.lit("[0-9]{2}")), F.filter(_matches(F.col("text"), "id", CANDIDATE, None), lambda x: F.length(F.regexp_replace(x["v"], "[^0-9]", "")) >= MIN_DIGITS))
-    tokens = F.coalesce(tokens, F.expr("cast(array() as array<struct<s:int,e:int,k:int,v:string>>)"))
-    own = own.withColumn("tokens", tokens).withColumn("tokens", F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"]))))
+    own = own.withColumn("tokens", F.coalesce(tokens, F.expr(_NO_SPANS)))
+    own = own.withColumn("tokens", F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"]))))
     none = F.expr("cast(array() as array<struct<s:int,e:int,k:int,v:string,p:string>>)")
     some = F.size("base") + F.size("tokens") > 0
-    found = common.cut(own.select("doc_id", "row_key", "base", F.when(some, contexts(F.col("text"), F.concat("base", "tokens"))).otherwise(none).alias("x")), "pii")
-    rows = found.where(F.size("x") > 0).select("doc_id", "row_key", F.explode("x").alias("x")).select("doc_id", "row_key", "x.*").where(F.length("p") > 0)
+    return common.cut(own.select("doc_id", "row_key", "base", F.when(some, contexts(F.col("text"), F.concat("base", "tokens"))).otherwise(none).alias("x")), "pii")
+
+
+def _discovered(scanned: DataFrame) -> DataFrame:
+    """(row_key, more): the spans that the bootstrap adds."""
+    rows = scanned.where(F.size("x") > 0).select("row_key", F.explode("x").alias("x")).select("row_key", "x.*").where(F.length("p") > 0)
     unseen = bootstrap(rows.select("p", "v", (F.col("k") < KINDS.index("id")).cast("int").alias("seed")))
-    more = rows.where(F.col("k") == KINDS.index("id")).join(unseen, "v", "left_semi").groupBy("row_key").agg(F.collect_set(F.struct("s", "e", "k", "v")).alias("more"))
-    spans = F.concat("base", F.coalesce("more", F.expr("cast(array() as array<struct<s:int,e:int,k:int,v:string>>)")))
-    return found.join(more, "row_key", "left").select("doc_id", "row_key", "base", F.array_sort(spans).alias("spans"))
+    return rows.where(F.col("k") == KINDS.index("id")).join(unseen, "v", "left_semi").groupBy("row_key").agg(F.collect_set(F.struct("s", "e", "k", "v")).alias("more"))
+
+
+def find(docs: DataFrame) -> DataFrame:
+    """doc_id, row_key, base and all spans (arrays of s, e, k, v) for every document."""
+    scanned = _scanned(docs)
+    spans = F.concat("base", F.coalesce("more", F.expr(_NO_SPANS)))
+    return scanned.join(_discovered(scanned), "row_key", "left").select("doc_id", "row_key", "base", F.array_sort(spans).alias("spans"))
+
+
+def with_spans(docs: DataFrame) -> DataFrame:
+    """The columns of docs, and pii_spans. Base spans are taken from the text again rather than joined to it."""
+    more = common.cut(_discovered(_scanned(docs)).withColumnRenamed("row_key", "pii_row"), "pii-more")
+    side = F.broadcast(more) if more.count() <= BROADCAST_ROWS else more.hint("merge")
+    text = F.coalesce("text", F.lit(""))
+    joined = docs.withColumn("pii_key", F.xxhash64("doc_id", text)).join(side, F.col("pii_key") == F.col("pii_row"), "left")
+    return joined.withColumn("pii_spans", F.array_sort(F.concat(base_spans(text), F.coalesce("more", F.expr(_NO_SPANS))))).drop("pii_key", "pii_row", "more")
 
 
 def digest(found: DataFrame) -> DataFrame:

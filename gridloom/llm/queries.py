@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, fm_index, hdlang, html_templates, pieces, pii, suffix_automata, suffix_levels, superminhash, topk
+from . import common, fm_index, hdlang, html_templates, pieces, pii, suffix_automata, suffix_levels, superminhash, token_rollup, topk
 
 #: Where the public tokenizers' files are; a parameter, not part of this repository.
 TOKENIZERS = os.environ.get("GRIDLOOM_TOKENIZERS", "/opt/tokenizers")
@@ -50,6 +50,10 @@ def op8_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_levels.dedup(common.table(spark, sf_dir, "documents")).drop("spans", "kept_bytes")
 
 
+def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_rollup.maintained(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
 def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superminhash.near_duplicates(common.table(spark, sf_dir, "documents"), k=2, percent=80)
 
@@ -63,6 +67,7 @@ EVERY = (
     op6_sentencepiece,
     op7_pii,
     op8_suffix_levels,
+    op9_token_rollup,
     op10_superminhash,
 )
 
@@ -72,4 +77,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_top_k": topk.ORACLE_SQL}
+    return {"op5_exact_top_k": topk.ORACLE_SQL, "op9_token_rollup": token_rollup.ORACLE_SQL}

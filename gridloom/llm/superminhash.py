@@ -212,12 +212,14 @@ def _block_links(batches: Iterator[pa.RecordBatch], percent: int, floor: int) ->
         yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], names=["a", "b"])
 
 
+def by_size(ids: DataFrame) -> DataFrame:
+    """Ids as the side of a join: broadcast up to a checked number, else merged."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge")
+
+
 def _fetch_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """(rep, shingles) of these documents. Their ids are broadcast up to a checked number, else joined."""
-    n = ids.count()
-    ids = ids.withColumnRenamed("rep", "wanted")
-    ids = F.broadcast(ids) if n <= BROADCAST_IDS else ids.hint("merge")
-    docs = common.only(docs, "doc_id", "text").join(ids, F.col("doc_id") == F.col("wanted"), "left_semi")
+    docs = common.only(docs, "doc_id", "text").join(by_size(ids.withColumnRenamed("rep", "wanted")), F.col("doc_id") == F.col("wanted"), "left_semi")
     return docs.mapInArrow(lambda it: _sets(it, k), "rep long, shingles binary")
 
 
