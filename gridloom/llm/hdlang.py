@@ -63,7 +63,7 @@ def trigrams(texts: list[str | None], symbols: np.ndarray) -> tuple[np.ndarray,
         s = symbols[points]
         doc = np.repeat(np.arange(at, to), [len(x) for x in own])
         keep = np.ones(len(s), bool)
-        keep[1:] = (s[1:] > 0) | (s[:-1] > 0)  # one boundary for a run of them
+        keep[1:] = (s[1:] > 0) | (s[:-1] > 0) | (doc[1:] != doc[:-1])  # one boundary for a run of them
         s, doc = s[keep], doc[keep]
         if len(s) >= 3:
             same = (doc[2:] == doc[:-2]) & (s[1:-1] > 0)  # a boundary in the middle says nothing of a word
@@ -152,7 +152,7 @@ def _predict_all(batches: Iterator[pa.RecordBatch], names: list[str], matrix: np
 
 def unit_rows(bundles: dict[str, np.ndarray]) -> tuple[list[str], np.ndarray]:
     names = sorted(n for n, v in bundles.items() if np.any(v))
-    return names, np.array([bundles[n] / np.linalg.norm(bundles[n]) for n in names]).reshape(len(names), -1)
+    return names, np.stack([bundles[n] / np.linalg.norm(bundles[n]) for n in names]) if names else np.zeros((0, 1))
 
 
 def identify(docs: DataFrame, bundles: dict[str, np.ndarray], columns: list[str], keep_text: bool = False, dimensions: int = DIMENSIONS) -> DataFrame:
