@@ -9,10 +9,15 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: dict[str, str] = {}
+#: Bytes of an Arrow batch, unless the session sets it: both sides of a Python task hold a few of them beside the heap.
+ARROW_BATCH_BYTES = 8 << 20
+_ARROW_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> SparkSession:
     """Send the package's sources to the executors, once for each application."""
+    if spark.conf.get(_ARROW_BATCH, None) is None:
+        spark.conf.set(_ARROW_BATCH, str(ARROW_BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         root = Path(__file__).resolve().parent
