@@ -112,10 +112,10 @@ def maintained(docs: DataFrame, labels: DataFrame, path: str | None = None) -> D
     spark = docs.sparkSession
     store = TokenRollup(spark, path or f"{common.shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
     store.commit("load", counted(docs, *WORDS))
-    good = common.only(labels, "doc_id", "quality").where("quality = 1").select("doc_id")
+    good = common.only(labels, "doc_id", "quality").where("quality = 1").select("doc_id").distinct()
     toxic = common.only(labels, "doc_id", "toxic").where("toxic = 1").select("doc_id")
     for _ in range(2):
-        store.commit("recount", counted(docs.join(good, "doc_id", "left_semi"), *ALNUM))
+        store.commit("recount", counted(docs, *ALNUM).join(good, "doc_id"))  # counts are joined, not texts: a semi join would be pushed below the counting
         store.commit("takedown", deletes=toxic)
     return store.totals()
 
