@@ -11,8 +11,8 @@ NAN, INF = float("nan"), float("inf")
 def true_div(a: Column, b: Column) -> Column:
     """a / b as doubles; a zero divisor gives NaN or an infinity of the sign of a and of the zero."""
     a, b = a.cast("double"), b.cast("double")
-    # -0.0 = 0.0 in Spark; atan2(-0.0, -1) tells a negative zero
-    signed = F.when(F.atan2(b, F.lit(-1.0)) < 0, -a).otherwise(a)
+    # -0.0 = 0.0 in Spark; its text tells them apart
+    signed = F.when(F.startswith(b.cast("string"), F.lit("-")), -a).otherwise(a)
     return F.when(b != 0, F.try_divide(a, b)).when(a.isNull() | b.isNull(), None).when(F.isnan(a) | (a == 0), NAN).when(signed > 0, INF).otherwise(-INF)
 
 

@@ -95,14 +95,14 @@ def _running(df: DataFrame, lanes: list[str], pos: str, length: int, agg, combin
     upto = Window.partitionBy(*lanes).orderBy(pos).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     if length <= planner.LANE:
         return df.withColumn("v", agg("v").over(upto))
-    step = max(1, int(length**0.5))
-    df = df.withColumn("__chunk", F.call_function("div", F.col(pos), F.lit(step).cast("long")))
-    chunks = df.groupBy(*lanes, "__chunk").agg(agg("v").alias("v"))
-    chunks = _running(chunks, lanes, "__chunk", -(-length // step), agg, combine)
-    carried = chunks.select(*lanes, (F.col("__chunk") + 1).alias("__chunk"), F.col("v").alias("__carry"))
-    own = Window.partitionBy(*lanes, "__chunk").orderBy(pos).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    df = df.withColumn("v", agg("v").over(own)).join(carried, [*lanes, "__chunk"], "left")
-    return df.withColumn("v", F.when(F.col("__carry").isNull(), F.col("v")).otherwise(combine(F.col("v"), F.col("__carry")))).drop("__chunk", "__carry")
+    step, chunk, carry = max(2, int(length**0.5)), f"{pos}_chunk", f"{pos}_carry"
+    df = df.withColumn(chunk, F.call_function("div", F.col(pos), F.lit(step).cast("long")))
+    chunks = df.groupBy(*lanes, chunk).agg(agg("v").alias("v"))
+    chunks = _running(chunks, lanes, chunk, -(-length // step), agg, combine)
+    carried = chunks.select(*lanes, (F.col(chunk) + 1).alias(chunk), F.col("v").alias(carry))
+    own = Window.partitionBy(*lanes, chunk).orderBy(pos).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    df = df.withColumn("v", agg("v").over(own)).join(carried, [*lanes, chunk], "left")
+    return df.withColumn("v", F.when(F.col(carry).isNull(), F.col("v")).otherwise(combine(F.col("v"), F.col(carry)))).drop(chunk, carry)
 
 
 def scan(x, reduce_fn=np.sum, scan_fn=np.cumsum, axis=None) -> GridArray:

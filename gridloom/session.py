@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: dict[str, str] = {}
 #: Bytes of an Arrow batch, unless the session sets it: both sides of a Python task hold a few of them beside the heap.
@@ -28,3 +29,22 @@ def ship(spark: SparkSession) -> SparkSession:
         spark.sparkContext.addPyFile(str(target))
         _shipped[app] = str(target)
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir of the session, or, only where that is unset (tests, one machine), a temporary one."""
+    set_for_all = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if set_for_all:
+        return set_for_all.rstrip("/")
+    own = spark.conf.get("gridloom.shared.dir", None)
+    if not own:
+        own = tempfile.mkdtemp(prefix="gridloom-")
+        spark.conf.set("gridloom.shared.dir", own)
+    return own
+
+
+def kept(df: DataFrame, name: str = "kept") -> DataFrame:
+    """Written to the shared folder and read back: iterations go on from files, so that plans stay short and a lost executor costs a read."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
