@@ -2,33 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session, or, only where that is unset (tests, one machine), a temporary one."""
-    set_for_all = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if set_for_all:
-        return set_for_all.rstrip("/")
-    own = spark.conf.get("gridloom.shared.dir", None)
-    if not own:
-        own = tempfile.mkdtemp(prefix="gridloom-")
-        spark.conf.set("gridloom.shared.dir", own)
-    return own
+from ..session import kept, shared_dir, ship
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: the lineage ends there, and a lost executor costs only a read."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return kept(df, name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,5 +38,8 @@ def small_rows(df: DataFrame, limit_bytes: int, size) -> Iterable[list]:
         yield block
 
 
+__all__ = ["cut", "only", "parallelism", "shared_dir", "small_rows", "table"]
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
