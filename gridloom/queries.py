@@ -19,7 +19,7 @@ from .algorithms import clustering, decomposition, learning, simulation
 from .array import GridArray, from_table, from_vectors
 from .functions import numeric
 from .operators import creation, elementwise, image, indexing, kernels, linalg, reduction, sorting
-from .session import ship, shared_dir
+from .session import kept, shared_dir, ship
 from .sources import arrays
 from .streaming import reductions as streaming
 
@@ -265,9 +265,16 @@ add("scan_axis1_max", lambda s, d: sorting.scan(_e(s, d), np.max, np.maximum.acc
 # images: vectors as 8 by 8 pictures
 
 _IM = f"{E}, M AS (SELECT i0, 0::BIGINT AS i1, i1 // 8 AS i2, i1 % 8 AS i3, v FROM E)"
+
+
+def _unsigned(x: GridArray, digits: int) -> DataFrame:
+    """Rounded, without negative zeros."""
+    return x.frame().withColumn("v", F.round("v", digits) + 0.0)
+
+
 _images = lambda s, d: _e(s, d).reshape(-1, 1, 8, 8)
 _FILTER = np.arange(1.0, 19.0).reshape(2, 1, 3, 3)
-add("stencil", lambda s, d: image.stencil(_images(s, d), _FILTER), f"WITH {_IM}, f AS (SELECT x // 9 AS f, x % 9 // 3 AS dx, x % 3 AS dy, x + 1 AS w FROM range(18) t(x)) SELECT i0, f AS i1, i2 - dx AS i2, i3 - dy AS i3, round(sum(v * w), 4) AS v FROM M, f WHERE i2 >= dx AND i3 >= dy GROUP BY ALL", 4)
+add("stencil", lambda s, d: _unsigned(image.stencil(_images(s, d), _FILTER), 4), f"WITH {_IM}, f AS (SELECT x // 9 AS f, x % 9 // 3 AS dx, x % 3 AS dy, x + 1 AS w FROM range(18) t(x)) SELECT i0, f AS i1, i2 - dx AS i2, i3 - dy AS i3, round(sum(v * w), 4) + 0.0 AS v FROM M, f WHERE i2 >= dx AND i3 >= dy GROUP BY ALL")
 add("maxpool", lambda s, d: image.maxpool(_images(s, d)), f"WITH {_IM} SELECT i0, i1, i2 // 2 AS i2, i3 // 2 AS i3, max(v) AS v FROM M GROUP BY ALL")
 add("convnet", lambda s, d: image.convnet(_images(s, d), [_FILTER, np.ones((1, 2, 2, 2))]))
 
@@ -303,7 +310,7 @@ def _counts(s, d):
     """(doc, term, n, label): words of labelled documents, the label their quality."""
     labels = table(s, d, "labels").where("quality is not null").groupBy("doc_id").agg(F.max("quality").alias("label"))
     words = table(s, d, "documents").join(labels, "doc_id").select(F.col("doc_id").alias("doc"), F.explode(F.split(F.lower("text"), r"[^a-z]+")).alias("term"), "label").where("length(term) > 2")
-    return words.groupBy("doc", "term", "label").agg(F.count("*").alias("n"))
+    return kept(words.groupBy("doc", "term", "label").agg(F.count("*").alias("n")))  # used several times: texts are split once
 
 
 _COUNTS = """lab AS (SELECT doc_id, max(quality) AS label FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
