@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import linalg
+from ..session import kept
 from .clustering import distances, summed
 
 
@@ -82,28 +83,30 @@ def naive_bayes_predict(model: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def svm_dual(rows: DataFrame, width: int, penalty: float = 1e-2, rounds: int = 10, seed: int = 1) -> np.ndarray:
-    """A linear support vector machine by dual coordinate ascent: every round, each task goes through its rows (x, y = ±1) from the common weights and sends the change of its own; the mean change is applied. Dual variables start each round from the margin they imply."""
+    """A linear support vector machine by distributed dual coordinate ascent. Every row (x, y = ±1) has a dual variable in [0, 1]. In a round each task ascends over its own rows from the common weights; a share of one over the number of tasks of every change is kept, and the weights are summed anew from all dual variables."""
+    own = kept(rows.select("x", F.col("y").cast("double").alias("y"), F.lit(0.0).alias("a")))
+    n = own.count()
     w = np.zeros(width)
-    n = rows.count()
-    for step in range(rounds):
+    if not n:
+        return w
+    for turn in range(rounds):
+        tasks = own.rdd.getNumPartitions()
 
-        def run(batches: Iterator[pa.RecordBatch], start=w, turn=step) -> Iterator[pa.RecordBatch]:
-            rng, own, seen = np.random.default_rng(seed + turn), start.copy(), 0
+        def run(batches: Iterator[pa.RecordBatch], start=w, step=turn, share=1.0 / max(tasks, 1)) -> Iterator[pa.RecordBatch]:
+            rng, local = np.random.default_rng(seed + step), start.copy()
             for batch in batches:
-                x, y = linalg.stacked(batch.column(0), width), batch.column(1).to_numpy()
+                x, y, old = linalg.stacked(batch.column(0), width), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+                a = old.copy()
                 for i in rng.permutation(len(y)):
-                    seen += 1
-                    rate = 1.0 / (penalty * (turn * n + seen))
-                    own *= 1 - rate * penalty
-                    if y[i] * (own @ x[i]) < 1:
-                        own += min(rate, 1.0 / (penalty * 10)) * y[i] * x[i]
-            if seen:
-                yield pa.RecordBatch.from_arrays([pa.array(range(width + 1)), pa.array([*(own * seen), float(seen)])], names=["j", "v"])
-
-        table = rows.select("x", F.col("y").cast("double")).mapInArrow(run, "j long, v double").groupBy("j").agg(F.sum("v").alias("v")).toArrow()
-        total = np.zeros(width + 1)
-        total[table.column("j").to_numpy()] = table.column("v").to_numpy()
-        w = total[:-1] / max(total[-1], 1)
+                    size = float(x[i] @ x[i])
+                    if size:
+                        new = min(1.0, max(0.0, a[i] + penalty * n * (1.0 - y[i] * float(local @ x[i])) / size))
+                        local += (new - a[i]) * y[i] * x[i] / (penalty * n)
+                        a[i] = new
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(old + share * (a - old))], names=["x", "y", "a"])
+
+        own = kept(own.mapInArrow(run, "x array<double>, y double, a double"))
+        w = summed(own, ["x", "y", "a"], (1, width), lambda x, y, a: ((a * y) @ x)[None])[0] / (penalty * n)
     return w
 
 
@@ -243,8 +246,6 @@ def als(ratings: DataFrame, rank: int = 10, penalty: float = 0.1, iterations: in
 
 def sgd_factors(ratings: DataFrame, rank: int = 20, rate: float = 0.01, epochs: int = 5, parts: int = 4, penalty: float = 0.02, seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """User and item factors by stochastic gradient descent in strata: users and items are dealt into parts, and in each of the strata every task has users and items of its own. (id, x) each."""
-    from ..session import kept
-
     spark = ratings.sparkSession
     start = lambda name: F.transform(F.sequence(F.lit(1), F.lit(rank)), lambda k: (F.pmod(F.xxhash64(F.col(name), k, F.lit(seed)), F.lit(10_000)) / 10_000.0 - 0.3) / float(rank) ** 0.5)
     dealt = ratings.select("user", "item", F.col("v").cast("double").alias("v")).withColumn("a", F.pmod(F.xxhash64("user"), F.lit(parts))).withColumn("b", F.pmod(F.xxhash64("item"), F.lit(parts)))
