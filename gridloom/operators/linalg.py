@@ -46,20 +46,28 @@ def blocks(x: GridArray, size: int = planner.BLOCK) -> DataFrame:
     """(b0, b1, data): dense blocks as float64 bytes in C order, cut off at the array's edges. One shuffle by block."""
     n, m = x.shape
     cells = x.frame().select(F.call_function("div", "i0", F.lit(size).cast("long")).alias("b0"), F.call_function("div", "i1", F.lit(size).cast("long")).alias("b1"), (F.col("i0") % size).cast("int").alias("r"), (F.col("i1") % size).cast("int").alias("c"), F.col("v").cast("double").alias("v"))
-    packed = cells.groupBy("b0", "b1").agg(F.collect_list(F.struct("r", "c", "v")).alias("cells"))
+    tasks = int(x.spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cells.repartition(tasks, "b0", "b1").sortWithinPartitions("b0", "b1")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Cells come block by block: one block is held at a time."""
+        key, block = None, None
         for batch in batches:
-            b0, b1, cell = batch.column("b0").to_pylist(), batch.column("b1").to_pylist(), batch.column("cells")
-            out = []
-            for i in range(batch.num_rows):
-                own = cell[i].values
-                block = np.zeros((min(size, n - b0[i] * size), min(size, m - b1[i] * size)))
-                block[own.field(0).to_numpy(), own.field(1).to_numpy()] = own.field(2).to_numpy()
-                out.append(block.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("b0"), batch.column("b1"), pa.array(out, pa.binary())], names=["b0", "b1", "data"])
-
-    return packed.mapInArrow(pack, "b0 long, b1 long, data binary")
+            b0, b1, r, c, v = (batch.column(i).to_numpy() for i in range(5))
+            edges = [0, *(np.flatnonzero((b0[1:] != b0[:-1]) | (b1[1:] != b1[:-1])) + 1).tolist(), len(b0)]
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                if lo == hi:
+                    continue
+                here = int(b0[lo]), int(b1[lo])
+                if here != key:
+                    if key is not None:
+                        yield _one(key, block)
+                    key, block = here, np.zeros((min(size, n - here[0] * size), min(size, m - here[1] * size)))
+                block[r[lo:hi], c[lo:hi]] = v[lo:hi]
+        if key is not None:
+            yield _one(key, block)
+
+    return dealt.mapInArrow(pack, "b0 long, b1 long, data binary")
 
 
 def unblocked(df: DataFrame, n: int, m: int, size: int) -> DataFrame:
