@@ -29,14 +29,14 @@ def matvec(a: GridArray, x: np.ndarray, transposed: bool = False) -> np.ndarray:
     return out
 
 
-def lanczos(a: GridArray, rank: int, extra: int = 8, symmetric: bool = True, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """The leading eigenvalues and eigenvectors of a, or of aᵀa if not symmetric; with full re-orthogonalisation."""
-    n = a.shape[1]
+def lanczos(a, rank: int, extra: int = 8, symmetric: bool = True, seed: int = 1, n: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The leading eigenvalues and eigenvectors of a, or of aᵀa if not symmetric; with full re-orthogonalisation. a: an array, or a function that gives a symmetric matrix times a vector of n elements."""
+    n = a.shape[1] if n is None else n
     steps = min(n, rank + max(extra, rank))
     q = np.random.default_rng(seed).normal(size=n)
     basis, alpha, beta = [q / np.linalg.norm(q)], [], []
     for _ in range(steps):
-        w = matvec(a, basis[-1]) if symmetric else matvec(a, matvec(a, basis[-1]), True)
+        w = a(basis[-1]) if callable(a) else matvec(a, basis[-1]) if symmetric else matvec(a, matvec(a, basis[-1]), True)
         alpha.append(float(w @ basis[-1]))
         known = np.array(basis)
         for _ in range(2):

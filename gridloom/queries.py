@@ -236,6 +236,7 @@ add("dot_sparse_sparse", lambda s, d: linalg.dot(_u(s, d).T, _u(s, d)), f"WITH {
 add("dot_local", lambda s, d: linalg.dot(_e(s, d), np.arange(64.0)), f"WITH {E} SELECT i0, round(sum(v * i1), 4) AS v FROM E GROUP BY i0", 4)
 add("dot_block", lambda s, d: linalg._block_dot(_e(s, d).T, _e(s, d), "float64", 128), f"WITH {E} SELECT a.i1 AS i0, b.i1, round(sum(a.v * b.v), 5) AS v FROM E a JOIN E b USING (i0) GROUP BY a.i1, b.i1", 5)
 add("outer_distances", lambda s, d: linalg.outer(_e(s, d)[:60], _e(s, d), lambda a, b: (a - b) * (a - b)), f"WITH {E} SELECT a.i0, b.i0 AS i1, round(sum((a.v - b.v) * (a.v - b.v)), 5) AS v FROM E a JOIN E b ON a.i1 = b.i1 AND a.i0 < 60 GROUP BY a.i0, b.i0", 5)
+add("outer_distances_all", lambda s, d: linalg.outer(_e(s, d), _e(s, d), lambda a, b: (a - b) * (a - b)), None, 5)
 add("map2_join", lambda s, d: kernels.map2([_e(s, d), _e(s, d)], (0, 0), lambda a, va, b, vb: ([a[1], b[1]], va * vb), (64, 64)), f"WITH {E} SELECT a.i1 AS i0, b.i1, round(sum(a.v * b.v), 5) AS v FROM E a JOIN E b USING (i0) GROUP BY a.i1, b.i1", 5)
 add("shuffle_scatter", lambda s, d: kernels.shuffle(_o(s, d), lambda i, v: ([i % 100], v), (100,)), f"WITH {O} SELECT i0 % 100 AS i0, round(sum(v), 3) AS v FROM O GROUP BY i0 % 100", 3)
 add("shuffle_by_label", lambda s, d: _label_sums(s, d), "SELECT label::BIGINT AS i0, x::BIGINT AS i1, round(sum(embedding[x + 1]::DOUBLE), 5) AS v FROM embeddings, range(64) t(x) GROUP BY ALL", 5)
@@ -367,7 +368,7 @@ add("kmeans_assign", lambda s, d: clustering.assign(_rows(s, d), _first(s, d)).s
 add("fuzzy_kmeans", lambda s, d: _center_frame(s, clustering.fuzzy_kmeans(_rows(s, d), _first(s, d), 3)), None, 5)
 add("canopies", lambda s, d: _center_frame(s, clustering.canopies(_rows(s, d), 12.0, 10.0)), None, 5)
 add("streaming_kmeans", lambda s, d: _center_frame(s, clustering.streaming_kmeans(_rows(s, d), 10)), None, 5)
-add("spectral_clustering", lambda s, d: clustering.spectral(_rows(s, d).where("i0 < 200"), 200, 5, gamma=0.05))
+add("spectral_clustering", lambda s, d: clustering.spectral(_rows(s, d), _e(s, d).shape[0], 5, gamma=0.05))
 _links = lambda s, d: _l(s, d).frame().select(F.col("i0").alias("source"), F.col("i1").alias("target"), "v")
 add("pagerank_step", lambda s, d: simulation.pagerank(_links(s, d).select("source", "target", (F.col("v") / 50.0).alias("weight")), _l(s, d).shape[0], 1).select("i0", "v"), f"WITH {L}, n AS (SELECT max(l_orderkey) + 1 AS n FROM lineitem) SELECT i1 AS i0, round(sum(v / 50 / n), 9) AS v FROM L, n GROUP BY i1", 9)
 add("black_scholes", lambda s, d: _options(s, d), None)
@@ -437,7 +438,7 @@ add("als", lambda s, d: learning.als(_ratings(s, d), 5, iterations=3).userFactor
 add("als_implicit", lambda s, d: learning.als(_ratings(s, d), 5, iterations=3, implicit=True).userFactors.select(F.col("id").alias("i0"), F.col("features").alias("x")))
 add("sgd_factors", lambda s, d: learning.sgd_factors(_ratings(s, d).withColumn("v", F.col("v") / 50), 5, epochs=1, parts=2)[0])
 add("lda", lambda s, d: _topics(s, d), None, 6)
-add("isomap", lambda s, d: _center_frame(s, simulation.isomap(_rows(s, d).where("i0 < 100"), 100, 6, 2)), None, 5)
+add("isomap", lambda s, d: _center_frame(s, simulation.isomap(_rows(s, d), _e(s, d).shape[0], 6, 2)), None, 5)
 add("nbody", lambda s, d: simulation.nbody(table(s, d, "supplier").select(F.col("s_suppkey").alias("i0"), (F.abs("s_acctbal") / 1e4).alias("m"), *[(F.pmod(F.col("s_suppkey") * p, F.lit(101)) / 10.0).alias(c) for c, p in zip("xyz", (7, 13, 29))], *[F.lit(0.0).alias(f"v{c}") for c in "xyz"]), 1))
 add("swaption", lambda s, d: _named(s, ["price", "error"], simulation.swaption(s, 20000, [0.05] * 8, 0.05, 0.2, start=4)))
 add("stream_running_totals", lambda s, d: streaming.totals_so_far(s, table(s, d, "events").schema, f"{d}/events.parquet"), "SELECT event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total, min(value) AS least, max(value) AS most FROM events GROUP BY event_type")
