@@ -303,3 +303,37 @@ def lda(counts: DataFrame, topics: int, terms: int, iterations: int = 10, alpha:
         model = np.zeros((topics, terms))
         model[table.column("i").to_numpy(), table.column("j").to_numpy()] = table.column("v").to_numpy()
     return (model + eta) / (model + eta).sum(1, keepdims=True)
+
+
+def lda_table(counts: DataFrame, topics: int, iterations: int = 10, alpha: float = 0.1, eta: float = 0.1, seed: int = 1) -> DataFrame:
+    """(topic, term, v): as lda, for terms of any kind and number. The topic-term table stays a DataFrame, a row for each term; documents meet their own terms' rows only, and the driver holds one number for each topic."""
+    counts = kept(counts.groupBy("doc", "term").agg(F.sum("n").cast("double").alias("n")))
+    kind = dict(counts.dtypes)["term"]
+    start = [F.pmod(F.xxhash64("term", F.lit(k), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30) + 0.5 for k in range(topics)]
+    size = counts.select("term").distinct().count()
+    model = kept(counts.select("term").distinct().select("term", F.array(*start).alias("w")))
+
+    def totals() -> np.ndarray:
+        sums = model.agg(*[F.sum(F.col("w")[k]).alias(f"t{k}") for k in range(topics)]).first()
+        return np.array([x or 0.0 for x in sums]) + eta * size
+
+    for _ in range(iterations):
+
+        def run(batches: Iterator[pa.RecordBatch], whole=totals()) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for cells in batch.column(0):
+                    terms, own, w = (cells.values.field(c) for c in ("term", "n", "w"))
+                    own = own.to_numpy()
+                    beta = (linalg.stacked(w, topics) + eta).T / whole[:, None]
+                    theta = np.full(topics, own.sum() / topics)
+                    for _ in range(10):
+                        r = beta * (theta + alpha)[:, None]
+                        r /= np.maximum(r.sum(0), 1e-300)
+                        theta = r @ own
+                    yield pa.RecordBatch.from_arrays([terms, *(r * own)], names=["term", *(f"w{k}" for k in range(topics))])
+
+        docs = counts.join(model, "term").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("term", "n", "w"))).alias("cells")).select("cells")
+        found = docs.mapInArrow(run, f"term {kind}, " + ", ".join(f"w{k} double" for k in range(topics)))
+        model = kept(found.groupBy("term").agg(F.array(*[F.sum(f"w{k}") for k in range(topics)]).alias("w")))
+    whole = totals()
+    return model.select("term", F.posexplode("w").alias("topic", "w")).select(F.col("topic").cast("long").alias("topic"), "term", ((F.col("w") + eta) / F.element_at(F.array(*[F.lit(float(x)) for x in whole]), F.col("topic") + 1)).alias("v"))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from gridloom import queries
-from gridloom.algorithms import clustering
+from gridloom.algorithms import clustering, learning
 
 DIR = "/root/testdata/sf0.001"
 
@@ -56,3 +56,32 @@ def test_isomap_of_all_rows(spark, vectors):
     assert len(got) == 2 * n
     found = got.pivot(index="i0", columns="i1", values="v").to_numpy()
     assert np.allclose(found.T @ found, np.diag(values), rtol=1e-3, atol=1e-2)
+
+
+def test_topics_of_all_terms(spark):
+    got = queries.QUERIES["lda"](spark, DIR).toPandas()
+    terms = {r.term for r in queries._counts(spark, DIR).select("term").distinct().collect()}
+    assert len(terms) > 200 and set(got.term) == terms and len(got) == 5 * len(terms)
+    assert np.allclose(got.groupby("i0").v.sum(), 1) and (got.v > 0).all()
+
+
+def test_topic_table(spark):
+    r = np.random.default_rng(4)
+    n = r.integers(0, 4, (12, 30))
+    counts = spark.createDataFrame([(int(i), f"t{j:02}", int(n[i, j])) for i, j in zip(*np.nonzero(n))], "doc long, term string, n long")
+    shares = lambda turns: learning.lda_table(counts, 3, turns).toPandas().pivot(index="topic", columns="term", values="v").to_numpy()
+    beta = shares(0)
+    for _ in range(2):
+        model = np.zeros_like(beta)
+        for row in n.astype(float):
+            theta = np.full(3, row.sum() / 3)
+            for _ in range(10):
+                x = beta * (theta + 0.1)[:, None]
+                x /= x.sum(0)
+                theta = x @ row
+            model += x * row
+        beta = (model + 0.1) / (model + 0.1).sum(1, keepdims=True)
+    assert np.allclose(shares(2), beta)
+    two = spark.createDataFrame([(d, f"w{t + 5 * (d % 2)}", 3) for d in range(20) for t in range(5)], "doc long, term string, n long")
+    top = learning.lda_table(two, 2, 15).toPandas().sort_values("v").groupby("topic").term.apply(lambda x: tuple(sorted(x[-5:])))
+    assert set(top) == {("w0", "w1", "w2", "w3", "w4"), ("w5", "w6", "w7", "w8", "w9")}
