@@ -340,6 +340,8 @@ _ratings = lambda s, d: table(s, d, "lineitem").select(F.col("l_suppkey").alias(
 _SIM = """r AS (SELECT l_suppkey AS u, l_partkey % 200 AS item, sum(l_quantity) AS v FROM lineitem GROUP BY ALL), nr AS (SELECT item, sqrt(sum(v * v)) AS r FROM r GROUP BY item),
 x AS (SELECT u, item, v / nr.r AS v FROM r JOIN nr USING (item)), s AS (SELECT a.item, b.item AS other, sum(a.v * b.v) AS s FROM x a JOIN x b USING (u) GROUP BY ALL)"""
 add("item_similarity", lambda s, d: learning.item_similarity(_ratings(s, d), 5).select("item", "rank", "other", F.round("similarity", 6).alias("v")), f"WITH {_SIM} SELECT item, row_number() OVER (PARTITION BY item ORDER BY round(s, 9) DESC, other)::INTEGER AS rank, other, round(s, 6) AS v FROM s QUALIFY row_number() OVER (PARTITION BY item ORDER BY round(s, 9) DESC, other) <= 5")
+_parts = lambda s, d: table(s, d, "lineitem").select(F.col("l_suppkey").alias("user"), F.col("l_partkey").alias("item"), F.col("l_quantity").alias("v"))
+add("item_similarity_parts", lambda s, d: learning.item_similarity(_parts(s, d), 5).select("item", "rank", "other", F.round("similarity", 6).alias("v")))
 add("knn", lambda s, d: learning.knn(_rows(s, d), _rows(s, d).where("i0 % 100 = 0"), 10).select("query", "rank", "i0", F.round("distance", 6).alias("v")), f"WITH {E}, s AS (SELECT a.i0 AS query, b.i0, sqrt(sum((a.v - b.v) * (a.v - b.v))) AS x FROM E a JOIN E b ON a.i1 = b.i1 AND a.i0 % 100 = 0 GROUP BY a.i0, b.i0) SELECT query, row_number() OVER (PARTITION BY query ORDER BY x, i0)::INTEGER AS rank, i0, round(x, 6) AS v FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY x, i0) <= 10")
 
 
@@ -434,9 +436,22 @@ add("qr", lambda s, d: _center_frame(s, decomposition.qr(_rows(s, d), 64)[1]), N
 add("cholesky", lambda s, d: decomposition.cholesky(linalg.dot(_e(s, d).T, _e(s, d)) + creation.eye(64, dtype="float64"), 32), None, 6)
 add("jacobi", lambda s, d: _named(s, [f"x{k}" for k in range(64)], decomposition.jacobi(linalg.dot(_e(s, d).T, _e(s, d)) / 1e6 + creation.eye(64, dtype="float64") * 10.0, np.arange(64.0), 5)), None, 6)
 add("conjugate_gradient", lambda s, d: _named(s, [f"x{k}" for k in range(64)], decomposition.conjugate_gradient(linalg.dot(_e(s, d).T, _e(s, d)) / 1e3 + creation.eye(64, dtype="float64"), np.arange(64.0), 5)), None, 6)
-add("als", lambda s, d: learning.als(_ratings(s, d), 5, iterations=3).userFactors.select(F.col("id").alias("i0"), F.col("features").alias("x")))
-add("als_implicit", lambda s, d: learning.als(_ratings(s, d), 5, iterations=3, implicit=True).userFactors.select(F.col("id").alias("i0"), F.col("features").alias("x")))
-add("sgd_factors", lambda s, d: learning.sgd_factors(_ratings(s, d).withColumn("v", F.col("v") / 50), 5, epochs=1, parts=2)[0])
+
+
+def _sides(users: DataFrame, items: DataFrame) -> DataFrame:
+    """(side, i0, x): the factors of users and of items."""
+    both = [f.select(F.lit(side).alias("side"), F.col("id").cast("long").alias("i0"), F.col(x).alias("x")) for side, f, x in (("user", users, users.columns[1]), ("item", items, items.columns[1]))]
+    return both[0].unionByName(both[1])
+
+
+def _als(s, d, implicit=False):
+    model = learning.als(_parts(s, d), 5, iterations=3, implicit=implicit)
+    return _sides(model.userFactors, model.itemFactors)
+
+
+add("als", lambda s, d: _als(s, d))
+add("als_implicit", lambda s, d: _als(s, d, True))
+add("sgd_factors", lambda s, d: _sides(*learning.sgd_factors(_parts(s, d).withColumn("v", F.col("v") / 50), 5, epochs=1, parts=2)))
 add("lda", lambda s, d: _topics(s, d), None, 12)  # shares of rare terms are far below 1e-6
 add("isomap", lambda s, d: _center_frame(s, simulation.isomap(_rows(s, d), _e(s, d).shape[0], 6, 2)), None, 5)
 add("nbody", lambda s, d: simulation.nbody(table(s, d, "supplier").select(F.col("s_suppkey").alias("i0"), (F.abs("s_acctbal") / 1e4).alias("m"), *[(F.pmod(F.col("s_suppkey") * p, F.lit(101)) / 10.0).alias(c) for c, p in zip("xyz", (7, 13, 29))], *[F.lit(0.0).alias(f"v{c}") for c in "xyz"]), 1))

@@ -85,3 +85,33 @@ def test_topic_table(spark):
     two = spark.createDataFrame([(d, f"w{t + 5 * (d % 2)}", 3) for d in range(20) for t in range(5)], "doc long, term string, n long")
     top = learning.lda_table(two, 2, 15).toPandas().sort_values("v").groupby("topic").term.apply(lambda x: tuple(sorted(x[-5:])))
     assert set(top) == {("w0", "w1", "w2", "w3", "w4"), ("w5", "w6", "w7", "w8", "w9")}
+
+
+@pytest.fixture(scope="module")
+def ratings(spark):
+    return spark.read.parquet(f"{DIR}/lineitem.parquet").groupBy("l_suppkey", "l_partkey").sum("l_quantity").toPandas().set_axis(["user", "item", "v"], axis=1)
+
+
+@pytest.mark.parametrize("name", ["als", "als_implicit", "sgd_factors"])
+def test_factors_of_all_parts(spark, ratings, name):
+    got = queries.QUERIES[name](spark, DIR).toPandas()
+    assert sorted(got[got.side == "user"].i0) == sorted(set(ratings.user)) and sorted(got[got.side == "item"].i0) == sorted(set(ratings.item))
+    assert got.x.map(lambda x: len(x) == 5 and np.isfinite(np.array(x, float)).all()).all()
+
+
+def test_parts_are_not_folded(spark, tmp_path):
+    """Parts 200 apart are different items."""
+    r = np.random.default_rng(8)
+    lines = [(int(u), int(p) + 200 * int(k), float(v)) for u, p, k, v in zip(r.integers(0, 6, 300), r.integers(1, 9, 300), r.integers(0, 3, 300), r.integers(1, 50, 300))]
+    spark.createDataFrame(lines, "l_suppkey long, l_partkey long, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    items = sorted({p for _, p, _ in lines})
+    m = np.zeros((len(items), 6))
+    for u, p, v in lines:
+        m[items.index(p), u] += v
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    s = np.round(m @ m.T, 9)
+    want = {(items[i], rank + 1): items[j] for i in range(len(items)) for rank, j in enumerate(np.lexsort((items, -s[i]))[: min(5, (s[i] > 0).sum())])}
+    got = queries.QUERIES["item_similarity_parts"](spark, str(tmp_path)).collect()
+    assert {(x.item, x["rank"]): x.other for x in got} == want
+    sides = queries.QUERIES["als"](spark, str(tmp_path)).toPandas()
+    assert sorted(sides[sides.side == "item"].i0) == items
