@@ -6,6 +6,10 @@ on at least MIN_PAGES pages and half of the host's pages are deleted as the
 site's template. Around that stand the fixed rules of HTML: elements that never
 are main text (menus, footers, asides, forms, scripts and the like, or named so
 by class, id or role) go, and where a page marks its article, only that is kept.
+Names are whole words of a class or id, or compounds of nothing but names and
+the words that go with them: `no-ads` and `right-sidebar` are no names. A marked
+article stays inside whatever else is dropped, such as a form around the page,
+unless that is an aside, menu, comment, footer or the like.
 Inside a marked article, paragraphs, headings and other text elements are never
 taken for a template, so that articles which a site publishes twice stay.
 
@@ -49,6 +53,14 @@ NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion menu nav navbar navigation breadcrumb breadcrumbs sidebar footer cookie cookies consent notice notices gdpr comment comments reply replies disqus respond share sharing social related recommended newsletter subscribe subscription popup modal overlay widget toolbar pagination pager skip login signup masthead copyright legal disclaimer tags toc".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+#: In compounds, words that follow names, and words before names of the last kind.
+AFTER = frozenset("area bar block box button buttons container inner item items link links list posts section slot unit wrap wrapper".split())
+BEFORE, PLACES = frozenset("bottom global main page primary secondary site top".split()), frozenset("breadcrumb breadcrumbs footer header masthead menu nav navbar navigation".split())
+#: Names that drop an article inside as well, and tags and roles that drop a main element, too.
+ASIDES = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion menu nav navbar navigation sidebar footer comment comments reply replies disqus respond related recommended widget".split())
+FIRM = NEVER - frozenset("form fieldset label".split())
+FIRM_ROLES = frozenset("navigation contentinfo complementary menu menubar toolbar".split())
+SOFT, ASIDE, HARD = 1, 2, 3
 #: A new start tag ends open ones of these kinds.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 WALLS = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "option": ("select",)}
@@ -57,31 +69,45 @@ WALLS = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "tr":
 class Node:
     __slots__ = ("tag", "junk", "marked", "parts", "texts", "digest", "parent", "dropped")
 
-    def __init__(self, tag: str, junk: bool, marked: bool, parent: Node | None):
+    def __init__(self, tag: str, junk: int, marked: bool, parent: Node | None):
         self.tag, self.junk, self.marked, self.parent = tag, junk, marked, parent
         self.parts: list[Node | str] = []
         self.digest, self.dropped = b"", False
 
 
-def _junk(tag: str, attributes: str, inside: bool) -> bool:
-    if tag in NEVER or tag == "header" and not inside:
-        return True
+def _name(token: str, names: frozenset) -> set[str]:
+    """The names of a class token, if it is nothing else."""
+    words = [w for w in re.split(r"[^a-z0-9]+", token) if w]
+    if len(words) > 1 and words[0] in BEFORE and words[-1] in PLACES:
+        words = words[1:]
+    return set(words) & names if words and words[0] in names and set(words) <= names | AFTER else set()
+
+
+def _junk(tag: str, attributes: str, inside: bool) -> int:
+    """0, or how firmly an element is dropped: SOFT unless an article or main element is inside, ASIDE unless a main element is, HARD in any case."""
+    level = (HARD if tag in FIRM else SOFT) if tag in NEVER or tag == "header" and not inside else 0
     if "=" in attributes:
         for name, a, b, c in ATTRIBUTE.findall(attributes):
             value = (a or b or c).lower()
             if name.lower() == "role":
                 if value in ROLES:
-                    return True
-            else:
-                words = set(re.split(r"[^a-z0-9]+", value))
-                if words & NAMES or "header" in words and not inside and tag not in ("h1", "h2"):
-                    return tag not in ("html", "body", "article", "main")
-    return False
+                    level = max(level, HARD if value in FIRM_ROLES else SOFT)
+            elif tag not in ("html", "body", "article", "main"):
+                names = NAMES if inside or tag in ("h1", "h2") else NAMES | {"header"}
+                for token in value.split():
+                    if found := _name(token, names):
+                        level = max(level, ASIDE if found & ASIDES else SOFT)
+    return level
+
+
+def _inherited(tag: str, level: int) -> int:
+    """What an element takes over from the one around it."""
+    return 0 if tag == "article" and level <= SOFT or tag == "main" and level <= ASIDE else level
 
 
 def parse(html: str) -> Node:
     """The tree of block elements; inline markup leaves only its text."""
-    root = Node("", False, False, None)
+    root = Node("", 0, False, None)
     top, at, size = root, 0, len(html)
     text: list[str] = []
 
@@ -139,7 +165,7 @@ def parse(html: str) -> Node:
             if node is not top:
                 pop(node)
             marked = top.marked or tag in ("article", "main")
-            child = Node(tag, top.junk or _junk(tag, m[3], marked), marked, top)
+            child = Node(tag, max(_inherited(tag, top.junk), _junk(tag, m[3], marked)), marked, top)
             if not m[3].rstrip().endswith("/") or tag not in ("svg", "canvas"):
                 top.parts.append(child)
                 top = child
@@ -172,7 +198,9 @@ def main_text(root: Node) -> str:
         x = stack.pop()
         if isinstance(x, tuple):
             blocks.append(x)
-        elif not x.junk and not x.dropped:
+        elif x.junk:
+            stack += [p for p in reversed(x.parts) if isinstance(p, Node)]  # an article inside may stay
+        elif not x.dropped:
             stack += [p if isinstance(p, Node) else (p, x.marked) for p in reversed(x.parts)]
     if any(m for _, m in blocks):
         blocks = [b for b in blocks if b[1]]

@@ -51,3 +51,14 @@ def test_whole_table(spark, sf):
     got = queries.op1_html_extraction(spark, sf)
     assert got.count() == spark.read.parquet(f"{sf}/pages.parquet").count() and got.where("n_chars > 0").count() > 40
     assert got.where("text like '%track(%' or text like '%&copy%' or text like '%©%'").count() == 0
+
+
+def test_wrappers_do_not_delete_the_article(spark):
+    body = "<article><h1>Head</h1><p>Text</p></article>"
+    kept = [f"<div id='page' class='site {c}'>{body}</div>" for c in ("right-sidebar", "has-sidebar", "no-ads", "legal-news", "social-science", "has-header", "legal", "cookies overlay")]
+    kept += [f"<form action='/'>{body}</form>", f"<form><div class='no-ads'>{body}</div><p>ask</p></form>", f"<div class='sidebar'>x<main>{body}</main></div>", f"{body}<aside><article>side</article></aside>"]
+    kept += [f"{body}<div class='{c}'><article>other</article></div>" for c in ("comments", "comment-list", "related-posts", "footer", "sidebar", "ad-box")]
+    kept += ["<div class='legal-news'><h1>Head</h1><p>Text</p></div>", f"{body}<nav><main>menu</main></nav>"]
+    kept += [f"<article><h1>Head</h1><p>Text</p><div class='{c}'>no</div></article>" for c in ("ad", "cookie-notice", "ad-container", "site-footer", "share_buttons", "x sidebar")]
+    got = texts(spark, [(i, f"http://h{i}.example/", h) for i, h in enumerate(kept)])
+    assert {i: t for i, t in got.items() if t != "Head\n\nText"} == {}
