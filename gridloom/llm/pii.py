@@ -119,7 +119,7 @@ def _scanned(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     own = common.only(docs, "doc_id", "text").select("doc_id", text.alias("text"), F.xxhash64("doc_id", text).alias("row_key"))
     own = own.withColumn("base", base_spans(F.col("text")))
-    tokens = F.when(F.rlike("text", F.lit("[0-9]{2}")), F.filter(_matches(F.col("text"), "id", CANDIDATE, None), lambda x: F.length(F.regexp_replace(x["v"], "[^0-9]", "")) >= MIN_DIGITS))
+    tokens = F.when(F.rlike("text", F.lit("(?:[0-9][^0-9]*+){4}")), F.filter(_matches(F.col("text"), "id", CANDIDATE, None), lambda x: F.length(F.regexp_replace(x["v"], "[^0-9]", "")) >= MIN_DIGITS))
     own = own.withColumn("tokens", F.coalesce(tokens, F.expr(_NO_SPANS)))
     own = own.withColumn("tokens", F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"]))))
     none = F.expr("cast(array() as array<struct<s:int,e:int,k:int,v:string,p:string>>)")

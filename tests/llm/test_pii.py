@@ -91,3 +91,10 @@ def test_whole_table(spark, sf):
     for i, t in docs:
         own = [f"{k}:{s}:{e}" for s, _, k, e in base(t)]
         assert [x for x in spans[i].split(",") if x and not x.startswith("id:")] == own
+
+
+def test_candidates_without_adjacent_digits(spark):
+    """A token's four digits count wherever they are, and whatever else the text holds."""
+    rows = make(spark, [(1, "code A1B2C3D4"), (2, "code A1B2C3D4 and 12"), (3, "code A1B2C3D"), (4, "a1 b2 c3 d4")])
+    found = {r.doc_id: [x.v for x in r.x] for r in pii._scanned(rows).collect()}
+    assert found == {1: ["A1B2C3D4"], 2: ["A1B2C3D4"], 3: [], 4: []}
