@@ -2,16 +2,18 @@
 
 1. Every run of windows around an anchor (see anchors) becomes a row of
    fingerprints and positions. Anchors that occur once are dropped.
-2. Runs with equal contexts repeat as a whole; counts or least ids by context
-   settle them without looking at text again, however many copies there are.
-3. What is left are the distinct contexts of anchors with several of them. One
-   holder's symbols of each context go to the shard of its anchor, where the
-   caller's kernel (suffix automata, suffix arrays) compares them.
-4. An anchor with more contexts than a task should hold is not sent to a shard:
+2. Runs with equal contexts are the same passage: it is stored once, with the
+   number of its holders and the least of them.
+3. The symbols of each such passage go to the shard of its anchor, where the
+   caller's kernel (suffix automata, suffix arrays) decides which of its windows
+   repeat. If only earlier documents count, later holders of a passage repeat as
+   a whole, and passages that are alone at their anchor need no kernel.
+4. An anchor with more passages than a task should hold is not sent to a shard:
    its windows are spread by their own fingerprints and aggregated instead.
 
 All aggregations combine on the map side; hot anchors and contexts only meet in
-joins, which adaptive execution splits.
+joins, which adaptive execution splits: no aggregation by anchor shares a stage
+with them.
 """
 
 from __future__ import annotations
@@ -26,11 +28,11 @@ from pyspark.sql import functions as F
 
 from . import anchors, common, kernels
 
-#: Anchors with more distinct contexts are spread by window.
-HOT_CONTEXTS = 1 << 16
+#: Anchors with more distinct contexts are spread by window: a shard's task holds some megabytes of one anchor at most.
+HOT_CONTEXTS = 1 << 12
 #: Up to so many rows of positions (some 40 bytes each) are broadcast to their documents; more are joined.
 BROADCAST_ROWS = 1 << 19
-
+MARKS = "anchor long, ctx long, marks binary"
 
 
 def word_symbols(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,63 +96,91 @@ def _join_rows(docs: DataFrame, more: DataFrame, n: int, how: str = "inner") ->
     return docs.join(F.broadcast(more) if n <= BROADCAST_ROWS else more.hint("merge"), "row", how)
 
 
+def runs_of(docs: DataFrame, symbols_of, length: int, k: int, earlier: bool) -> DataFrame:
+    """(anchor, ctx, row, id, s, n) of every run of windows of documents (row, doc_id, text)."""
+    own = docs.select("row", F.col("doc_id").cast("long").alias("id"), "text")
+    own = own.where("id is not null") if earlier else own.withColumn("id", F.coalesce("id", F.lit(0)))
+    return own.mapInArrow(lambda it: _runs(it, symbols_of, length, k), "anchor long, ctx long, row long, id long, s int, n int")
+
+
+def held_contexts(runs: DataFrame) -> DataFrame:
+    """(anchor, ctx, cnt, held): each distinct passage, the number of its holders and the least of them."""
+    return runs.groupBy("anchor", "ctx").agg(F.count("*").alias("cnt"), F.min(F.struct("id", "row", "s", "n")).alias("held"))
+
+
+def payloads(docs: DataFrame, passages: DataFrame, n: int, symbols_of, length: int) -> DataFrame:
+    """(anchor, ctx, id, cnt, payload) of n passages (anchor, ctx, cnt, id, row, s, n): the symbols, read from the holders' texts."""
+    items = passages.groupBy("row").agg(F.collect_list(F.struct("anchor", "ctx", "id", "cnt", "s", "n")).alias("items"))
+    texts = _join_rows(docs.select("row", "text"), items, n)
+    return texts.mapInArrow(lambda it: _payloads(it, symbols_of, length), "anchor long, ctx long, id long, cnt long, payload binary")
+
+
 def repeated_ranges(docs: DataFrame, symbols_of, dtype: str, length: int, k: int, earlier: bool, kernel, hot: int = HOT_CONTEXTS) -> DataFrame:
     """(row, spans): for each document, int32 pairs of the merged ranges that repeated windows cover.
 
     earlier: a window must start in a document of a smaller id; else anywhere
     else. kernel: sorted shard batches of (anchor, ctx, id, cnt, payload) to
-    (anchor, ctx, marks), marks being the int32 offsets of repeated windows.
+    (anchor, ctx, marks), marks being int32 pairs: ranges of offsets of repeated
+    windows.
     """
     spark = docs.sparkSession
-    own = docs.select("row", F.col("doc_id").cast("long").alias("id"), "text")
-    own = own.where("id is not null") if earlier else own.withColumn("id", F.coalesce("id", F.lit(0)))
-    runs = common.cut(own.mapInArrow(lambda it: _runs(it, symbols_of, length, k), "anchor long, ctx long, row long, id long, s int, n int"), "runs")
+    runs = common.cut(runs_of(docs, symbols_of, length, k, earlier), "runs")
     several = runs.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi") if earlier else runs.groupBy("anchor").count().where("count > 1")
     runs = common.cut(runs.join(common.cut(several.select("anchor"), "anchors"), "anchor"), "runs")
-    contexts = common.cut(runs.groupBy("anchor", "ctx").agg(F.count("*").alias("cnt"), F.min(F.struct("id", "row", "s", "n")).alias("held")), "contexts")
-    placed = common.cut(runs.join(contexts.select("anchor", "ctx", "cnt", F.col("held.id").alias("first")), ["anchor", "ctx"]), "placed")
-    whole = (F.col("id") > F.col("first")) if earlier else (F.col("cnt") > 1)
-    settled = placed.where(whole).select("row", F.col("s"), (F.col("s") + F.col("n") - 1 + length).alias("e"))
-    # distinct contexts of anchors with several
-    mixed = contexts.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1")
-    open_ = common.cut(contexts.join(mixed, "anchor").select("anchor", "ctx", "cnt", "m", "held.id", "held.row", "held.s", "held.n"), "open")
-    items = open_.groupBy("row").agg(F.collect_list(F.struct("anchor", "ctx", "id", "cnt", "s", "n", "m")).alias("items"))
+    contexts = common.cut(held_contexts(runs), "contexts")
+    sizes = common.cut(contexts.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1" if earlier else "true"), "sizes")
+    n_sizes = sizes.count()
+    met = contexts.join(F.broadcast(sizes) if n_sizes <= BROADCAST_ROWS else sizes.hint("merge"), "anchor")
+    open_ = common.cut(met.select("anchor", "ctx", "cnt", "m", "held.id", "held.row", "held.s", "held.n"), "open")
     n_open = open_.count()
-    texts = _join_rows(docs.select("row", "text"), items, n_open)
-    schema = "anchor long, ctx long, id long, cnt long, payload binary"
-    pick = lambda test: texts.withColumn("items", F.filter("items", test)).where(F.size("items") > 0).mapInArrow(lambda it: _payloads(it, symbols_of, length), schema)
-    dealt = pick(lambda x: x["m"] <= hot).repartition(common.parallelism(spark), "anchor").sortWithinPartitions("anchor", "id", "ctx")
-    marks = dealt.mapInArrow(lambda it: kernel(it, length), "anchor long, ctx long, marks binary")
-    if not open_.where(F.col("m") > hot).isEmpty():
-        spread = common.cut(pick(lambda x: x["m"] > hot).dropDuplicates(["anchor", "ctx"]).mapInArrow(lambda it: _windows(it, dtype, length), "print long, anchor long, ctx long, id long, cnt long, o int"), "windows")
+    pick = lambda test: payloads(docs, open_.where(test), n_open, symbols_of, length)
+    dealt = pick(F.col("m") <= hot).repartition(common.parallelism(spark), "anchor").sortWithinPartitions("anchor", "id", "ctx")
+    marks = dealt.mapInArrow(lambda it: kernel(it, length), MARKS)
+    if not sizes.where(F.col("m") > hot).isEmpty():
+        spread = common.cut(pick(F.col("m") > hot).dropDuplicates(["anchor", "ctx"]).mapInArrow(lambda it: _windows(it, dtype, length), "print long, anchor long, ctx long, id long, cnt long, o int"), "windows")
         by_print = spread.groupBy("anchor", "print").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.sum("cnt").alias("total"))
         by_print = common.cut(by_print.where("first < last" if earlier else "total > 1"), "prints")
         hits = spread.join(by_print, ["anchor", "print"]).where("id > first" if earlier else "true").groupBy("anchor", "ctx").agg(F.collect_list("o").alias("o"))
-        marks = marks.union(hits.mapInArrow(_packed, "anchor long, ctx long, marks binary"))
+        marks = marks.union(hits.mapInArrow(_packed, MARKS))
     marks = common.cut(marks, "marks")
-    late = placed.where(~whole).join(marks, ["anchor", "ctx"]).mapInArrow(lambda it: _marked(it, length), "row long, s int, e int")
-    ranges = settled.union(late).groupBy("row").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    return common.cut(ranges.mapInArrow(_merge, "row long, spans binary"), "ranges")
+    if not earlier:
+        return common.cut(ranges(covered(runs, marks, length)), "ranges")
+    placed = common.cut(runs.join(contexts.select("anchor", "ctx", F.col("held.id").alias("first")), ["anchor", "ctx"]), "placed")
+    later = placed.where("id > first").select("row", "s", (F.col("s") + F.col("n") - 1 + length).alias("e"))
+    return common.cut(ranges(later.union(covered(placed.where("id = first"), marks, length))), "ranges")
+
+
+def covered(runs: DataFrame, marks: DataFrame, length: int) -> DataFrame:
+    """(row, s, e) ranges that marked windows cover, for every holder of a marked passage."""
+    return runs.join(marks, ["anchor", "ctx"]).mapInArrow(lambda it: _marked(it, length), "row long, s int, e int")
+
+
+def ranges(parts: DataFrame) -> DataFrame:
+    """(row, spans): merged ranges by row, from (row, s, e)."""
+    return parts.groupBy("row").agg(F.collect_list(F.struct("s", "e")).alias("spans")).mapInArrow(_merge, "row long, spans binary")
+
+
+def packed(offsets: np.ndarray) -> bytes:
+    """Sorted offsets of marked windows as int32 pairs (first, end) of their runs."""
+    edge = np.flatnonzero(np.diff(offsets) > 1)
+    return np.stack([offsets[np.append(0, edge + 1)], offsets[np.append(edge, len(offsets) - 1)] + 1], 1).astype(np.int32).tobytes()
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        marks = [np.unique(np.array(o, np.int32)).tobytes() for o in batch.column("o").to_pylist()]
+        marks = [packed(np.unique(np.array(o, np.int32))) for o in batch.column("o").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("anchor"), batch.column("ctx"), pa.array(marks, pa.binary())], names=["anchor", "ctx", "marks"])
 
 
 def _marked(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Ranges of runs of consecutive marked windows."""
+    """Ranges that runs of marked windows cover."""
     for batch in batches:
-        rows, starts, ends = [], [], []
-        for row, s, marks in zip(batch.column("row").to_pylist(), batch.column("s").to_pylist(), batch.column("marks").to_pylist(), strict=True):
-            o = np.frombuffer(marks, np.int32)
-            edge = np.flatnonzero(np.diff(o) > 1)
-            for a, b in zip([0, *(edge + 1).tolist()], [*edge.tolist(), len(o) - 1], strict=True):
-                rows.append(row)
-                starts.append(s + int(o[a]))
-                ends.append(s + int(o[b]) + length)
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=["row", "s", "e"])
+        pairs = [np.frombuffer(m.as_buffer(), np.int32) for m in batch.column("marks")]
+        sizes = [len(p) // 2 for p in pairs]
+        flat = np.concatenate(pairs).reshape(-1, 2) if pairs else np.zeros((0, 2), np.int32)
+        start = np.repeat(batch.column("s").to_numpy(), sizes)
+        row = np.repeat(batch.column("row").to_numpy(), sizes)
+        yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(start + flat[:, 0], pa.int32()), pa.array(start + flat[:, 1] - 1 + length, pa.int32())], names=["row", "s", "e"])
 
 
 def merged(pairs: np.ndarray) -> np.ndarray:
@@ -204,7 +234,7 @@ def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
 def mark_batches(found: Iterator[tuple[int, int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
     rows: list[tuple[int, int, bytes]] = []
     for anchor, ctx, marks in found:
-        rows.append((anchor, ctx, marks.astype(np.int32).tobytes()))
+        rows.append((anchor, ctx, packed(marks)))
         if len(rows) >= 4096:
             yield _mark_batch(rows)
             rows = []

@@ -9,8 +9,8 @@ only the passages that share an anchor with it, instead of being broadcast to
 all documents: the repeated part of a corpus grows with it, and all automata
 against all documents would be quadratic.
 
-Groups beyond AUTOMATON_CONTEXTS passages are compared by window fingerprints
-within the task, as an automaton of Python objects would take too much memory.
+An anchor of more than HOT_CONTEXTS different passages has no automaton, which
+no task could hold: its windows are spread over the cluster by fingerprint.
 
 Defined results: a null or empty text has no words; a document without doc_id
 neither loses words nor counts as earlier; rows that repeat a doc_id don't match
@@ -25,10 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from . import kernels, repeats
+from . import repeats
 
 WINDOW, GRAM = 50, 25
-AUTOMATON_CONTEXTS = 1024
 
 
 class SuffixAutomaton:
@@ -98,9 +97,6 @@ def _shard(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
 
 def _compare(groups: Iterator[dict[str, list]], length: int) -> Iterator[tuple[int, int, np.ndarray]]:
     for g in groups:
-        if len(g["id"]) > AUTOMATON_CONTEXTS:
-            yield from _by_prints(g, length)
-            continue
         automaton, waiting, before = SuffixAutomaton(), [], None
         for ctx, own, payload in zip(g["ctx"], g["id"], g["payload"], strict=True):
             sequence = np.frombuffer(payload, np.uint64).tolist()
@@ -115,22 +111,6 @@ def _compare(groups: Iterator[dict[str, list]], length: int) -> Iterator[tuple[i
             waiting.append(sequence)
 
 
-def _by_prints(g: dict[str, list], length: int) -> Iterator[tuple[int, int, np.ndarray]]:
-    parts = [kernels.windows(kernels.prefix(np.frombuffer(p, np.uint64)), length) for p in g["payload"]]
-    sizes = [len(p) for p in parts]
-    prints, ids = np.concatenate(parts), np.repeat(np.array(g["id"], np.int64), sizes)
-    order = np.lexsort((ids, prints))
-    first = np.flatnonzero(np.concatenate([[True], prints[order][1:] != prints[order][:-1]]))
-    least = np.empty(len(ids), np.int64)
-    least[order] = np.repeat(ids[order][first], np.diff(np.append(first, len(ids))))
-    hit, at = least < ids, 0
-    for ctx, n in zip(g["ctx"], sizes, strict=True):
-        marks = np.flatnonzero(hit[at : at + n])
-        at += n
-        if len(marks):
-            yield g["anchor"][0], ctx, marks
-
-
 def _kept(batches: Iterator[pa.RecordBatch], texts: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n, removed, sha, kept = [], [], [], []

@@ -1,14 +1,21 @@
 """Suffix-array dedup with a logarithmic index family.
 
-A shard's passages arrive in batches. Each batch gets a suffix array: its
-suffixes of at least the match length, in the order of their leading windows
-(by fingerprint, so that equal windows are neighbours). It is scanned against
-the arrays of the levels that exist, which finds every window that occurs in
-both; then it becomes a level itself, and levels of equal size class merge, so
-that a shard never holds more than a logarithmic number of arrays. Which
-passages can match, and the shard they belong to, come from anchors (see
+Passages arrive in batches. Each batch gets a suffix array: the suffixes that
+hold at least the match length, in the order of their bytes. Merge scans against
+the arrays of the levels that exist then find every suffix whose longest common
+prefix with one of theirs reaches the match length; the batch becomes a level
+itself, and levels of equal size class merge, so that a family never holds more
+than a logarithmic number of arrays. As only matches of that length count, the
+order and the common prefixes are decided on so many leading bytes; suffixes
+that agree there share a place in the array.
+
+Which passages can match, and the shard they belong to, come from anchors (see
 repeats): a suffix array of every byte of a corpus would be many times its size.
 
+``dedup`` answers one table, its families living in the shards' tasks.
+``SuffixIndex`` keeps documents, runs and families in a shared folder, so that
+later batches of documents are scanned against the levels of all earlier ones.
+
 Defined results: a null or empty text has no bytes; matches never cross
 documents; rows that repeat match each other; fewer bytes than the match length:
 nothing is removed.
@@ -16,101 +23,154 @@ nothing is removed.
 
 from __future__ import annotations
 
+import operator
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import kernels, repeats
+from . import common, repeats
 
 LENGTH, GRAM = 400, 100
-BATCH_WINDOWS = 1 << 17
+#: Suffixes of a batch, and of a step of a merge scan, whose leading bytes are held at once.
+BATCH_SUFFIXES, STEP_SUFFIXES = 1 << 15, 1 << 14
+#: A shard's task starts a new family at the next anchor once it holds so many suffixes.
+FAMILY_SUFFIXES = 1 << 19
 
 
 class IndexFamily:
-    """Sorted arrays of window fingerprints in levels of doubling size; every window knows whether it was met again."""
+    """Suffix arrays in levels of doubling size over one text of passages; every suffix knows whether it was met again."""
 
-    def __init__(self) -> None:
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
-        self.flags: list[np.ndarray] = []
+    def __init__(self, length: int = LENGTH) -> None:
+        self.length = length
+        self.text, self.met = b"", np.zeros(0, bool)
+        self.levels: list[np.ndarray] = []
+        #: (anchor, ctx, start in the text, number of suffixes) of each passage.
+        self.passages: list[tuple[int, int, int, int]] = []
         self.size = 0
 
-    def add(self, prints: np.ndarray, counts: np.ndarray) -> None:
-        """A batch of windows, each standing for so many occurrences. Their numbers continue those of earlier batches."""
-        where = self.size + np.arange(len(prints))
-        self.flags.append(counts > 1)
-        self.size += len(prints)
-        order = np.argsort(prints, kind="stable")
-        keys, places = prints[order], where[order]
-        same = keys[1:] == keys[:-1]
-        self._flag(places[1:][same])
-        self._flag(places[:-1][same])
-        for level_keys, level_places in self.levels:
-            low, high = np.searchsorted(level_keys, keys, "left"), np.searchsorted(level_keys, keys, "right")
-            met = high > low
-            self._flag(places[met])
-            edge = np.zeros(len(level_keys) + 1, np.int64)
-            np.add.at(edge, low[met], 1)
-            np.add.at(edge, high[met], -1)
-            self._flag(level_places[np.cumsum(edge[:-1]) > 0])
-        self.levels.append((keys, places))
-        while len(self.levels) > 1 and len(self.levels[-2][0]).bit_length() <= len(self.levels[-1][0]).bit_length():
-            (a, x), (b, y) = self.levels.pop(), self.levels.pop()
-            keys, places = np.concatenate([b, a]), np.concatenate([y, x])
-            order = np.argsort(keys, kind="stable")
-            self.levels.append((keys[order], places[order]))
-
-    def _flag(self, places: np.ndarray) -> None:
-        self._pending = getattr(self, "_pending", [])
-        self._pending.append(places)
-
-    def repeated(self) -> np.ndarray:
-        """For every window added, whether it occurs more than once."""
-        out = np.concatenate(self.flags) if self.flags else np.zeros(0, bool)
-        for places in getattr(self, "_pending", []):
-            out[places] = True
-        return out
+    def _heads(self, places: list[int]) -> list[bytes]:
+        text, n = self.text, self.length
+        return [text[i : i + n] for i in places]
+
+    def add(self, passages: list[tuple[int, int, int, bytes]]) -> None:
+        """A batch of passages (anchor, ctx, occurrences, bytes)."""
+        at, starts, again = len(self.text), [], []
+        for anchor, ctx, count, data in passages:
+            n = len(data) - self.length + 1
+            self.passages.append((anchor, ctx, at, n))
+            starts.append(np.arange(at, at + n))
+            if count > 1:
+                again.append(starts[-1])
+            at += len(data)
+        self.text = b"".join([self.text, *(p[3] for p in passages)])
+        self.met = np.concatenate([self.met, np.zeros(at - len(self.met), bool)])
+        for places in again:
+            self.met[places] = True
+        every = np.concatenate(starts) if starts else np.zeros(0, np.int64)
+        self.size += len(every)
+        batch = self._suffix_array(every)
+        for level in self.levels:
+            for _ in self._merge_scan(level, batch):
+                pass
+        self.levels.append(batch)
+        while len(self.levels) > 1 and len(self.levels[-2]).bit_length() <= len(self.levels[-1]).bit_length():
+            b, a = self.levels.pop(), self.levels.pop()
+            self.levels.append(np.concatenate([*self._merge_scan(a, b), np.zeros(0, np.int64)]))
+
+    def _suffix_array(self, every: np.ndarray) -> np.ndarray:
+        """The places in the order of their suffixes, one for each distinct head."""
+        parts = []
+        for lo in range(0, len(every), BATCH_SUFFIXES):
+            places = every[lo : lo + BATCH_SUFFIXES]
+            heads = self._heads(places.tolist())
+            order = sorted(range(len(heads)), key=heads.__getitem__)
+            parts.append(self._distinct(places[order], [heads[i] for i in order]))
+        while len(parts) > 1:
+            parts = [np.concatenate([*self._merge_scan(*parts[i : i + 2])]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+        return parts[0] if parts else every
+
+    def _distinct(self, places: np.ndarray, heads: list[bytes], before: tuple[int, bytes] | None = None) -> np.ndarray:
+        """Sorted places without those whose head equals the one before; both are met again."""
+        if before:
+            places, heads = np.append(before[0], places), [before[1], *heads]
+        same = np.fromiter(map(operator.eq, islice(heads, 1, None), heads), bool, len(heads) - 1) if heads else np.zeros(0, bool)
+        self.met[places[1:][same]] = True
+        self.met[places[:-1][same]] = True
+        keep = np.append(not before, ~same) if len(places) else np.zeros(0, bool)
+        return places[keep]
+
+    def _merge_scan(self, a: np.ndarray, b: np.ndarray) -> Iterator[np.ndarray]:
+        """Both arrays in one order, step by step; neighbours whose common prefix reaches the length are met again, and the earlier one stays."""
+        text, n = self.text, self.length
+        head = lambda i: text[i : i + n]
+        i = j = 0
+        last: tuple[int, bytes] | None = None
+        while i < len(a) or j < len(b):
+            # the next step ends where the first of both arrays' next pieces ends
+            top = min(head(x[min(k + STEP_SUFFIXES, len(x)) - 1]) for x, k in ((a, i), (b, j)) if k < len(x))
+            to_i = bisect_right(a, top, i, min(i + STEP_SUFFIXES, len(a)), key=head)
+            to_j = bisect_right(b, top, j, min(j + STEP_SUFFIXES, len(b)), key=head)
+            places = np.concatenate([a[i:to_i], b[j:to_j]])
+            heads = self._heads(places.tolist())
+            order = sorted(range(len(heads)), key=heads.__getitem__)  # two runs: one merge
+            heads = [heads[k] for k in order]
+            places = places[order]
+            yield self._distinct(places, heads, last)
+            last = int(places[-1]), heads[-1]
+            i, j = to_i, to_j
+
+    def marks(self) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(anchor, ctx, offsets) of the passages with suffixes that were met again."""
+        for anchor, ctx, start, n in self.passages:
+            own = np.flatnonzero(self.met[start : start + n])
+            if len(own):
+                yield anchor, ctx, own
+
+    def state(self) -> tuple[bytes, bytes, bytes, bytes, bytes]:
+        sizes = np.array([len(x) for x in self.levels], np.int64)
+        return self.text, np.packbits(self.met).tobytes(), np.array(self.passages, np.int64).tobytes(), sizes.tobytes(), np.concatenate([np.zeros(0, np.int64), *self.levels]).astype(np.int32).tobytes()
+
+    @classmethod
+    def restored(cls, length: int, text: bytes, met: bytes, passages: bytes, sizes: bytes, levels: bytes) -> IndexFamily:
+        own = cls(length)
+        own.text, own.met = text, np.unpackbits(np.frombuffer(met, np.uint8), count=len(text)).astype(bool)
+        own.passages = [tuple(p) for p in np.frombuffer(passages, np.int64).reshape(-1, 4).tolist()]
+        own.size = sum(p[3] for p in own.passages)
+        own.levels = [*np.split(np.frombuffer(levels, np.int32).astype(np.int64), np.cumsum(np.frombuffer(sizes, np.int64))[:-1])] if sizes else []
+        return own
 
 
 def _shard(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     yield from repeats.mark_batches(_compare(repeats.groups(batches), length))
 
 
-def _compare(groups: Iterator[dict[str, list]], length: int) -> Iterator[tuple[int, int, np.ndarray]]:
-    """Anchors never share windows, so a family may be closed at the end of any anchor once it is large."""
-    family, owners = IndexFamily(), []
-    prints: list[np.ndarray] = []
-    counts: list[np.ndarray] = []
-    waiting = 0
-
-    def close() -> Iterator[tuple[int, int, np.ndarray]]:
-        hit, at = family.repeated(), 0
-        for anchor, ctx, n, settled in owners:
-            marks = np.flatnonzero(hit[at : at + n])
-            at += n
-            if len(marks) and not settled:
-                yield anchor, ctx, marks
-
+def _fed(groups: Iterator[dict[str, list]], length: int, family: IndexFamily, limit: float) -> Iterator[IndexFamily]:
+    """Families that the passages of sorted anchors were added to, batch by batch. Anchors never share windows, so a family may be closed at the end of any anchor."""
+    batch, waiting = [], 0
     for g in groups:
         for ctx, cnt, payload in zip(g["ctx"], g["cnt"], g["payload"], strict=True):
-            own = kernels.windows(kernels.prefix(kernels.byte_values(np.frombuffer(payload, np.uint8))), length)
-            prints.append(own)
-            counts.append(np.full(len(own), cnt))
-            owners.append((g["anchor"][0], ctx, len(own), cnt > 1))
-            waiting += len(own)
-            if waiting >= BATCH_WINDOWS:
-                family.add(np.concatenate(prints), np.concatenate(counts))
-                prints, counts, waiting = [], [], 0
-        if family.size >= 32 * BATCH_WINDOWS:
-            if waiting:
-                family.add(np.concatenate(prints), np.concatenate(counts))
-                prints, counts, waiting = [], [], 0
-            yield from close()
-            family, owners = IndexFamily(), []
-    if waiting:
-        family.add(np.concatenate(prints), np.concatenate(counts))
-    yield from close()
+            batch.append((g["anchor"][0], ctx, cnt, payload))
+            waiting += len(payload) - length + 1
+            if waiting >= BATCH_SUFFIXES:
+                family.add(batch)
+                batch, waiting = [], 0
+        if family.size >= limit:
+            family.add(batch)
+            batch, waiting = [], 0
+            yield family
+            family = IndexFamily(length)
+    family.add(batch)
+    yield family
+
+
+def _compare(groups: Iterator[dict[str, list]], length: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    for family in _fed(groups, length, IndexFamily(length), FAMILY_SUFFIXES):
+        yield from family.marks()
 
 
 def _kept(batches: Iterator[pa.RecordBatch], texts: bool) -> Iterator[pa.RecordBatch]:
@@ -135,9 +195,142 @@ def _kept(batches: Iterator[pa.RecordBatch], texts: bool) -> Iterator[pa.RecordB
         )
 
 
+#: A family's row: its state, after the number of its batch.
+STATE = ("text", "met", "passages", "sizes", "levels")
+DEALT = "shard int, kind int, anchor long, ctx long, id long, cnt long, payload binary, " + ", ".join(f"{c} binary" for c in STATE)
+
+
+def _grow(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """For each shard, its stored family (kind 0) and the batch's passages (kind 1): the marks (kind 1) and the family as it is then (kind 0)."""
+
+    def rows():
+        for batch in batches:
+            yield from batch.to_pylist()
+
+    def out(**own) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([{n: own.get(n) for n in schema.names}], schema)
+
+    schema = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("anchor", pa.int64()), ("ctx", pa.int64()), ("marks", pa.binary()), *((c, pa.binary()) for c in STATE)])
+    waiting = rows()
+    row = next(waiting, None)
+    while row:
+        shard, family, batch, size = row["shard"], IndexFamily(length), [], 0
+        while row and row["shard"] == shard:
+            if row["kind"] == 0:
+                family = IndexFamily.restored(length, *(row[c] for c in STATE))
+            else:
+                batch.append((row["anchor"], row["ctx"], row["cnt"], row["payload"]))
+                size += len(row["payload"]) - length + 1
+                if size >= BATCH_SUFFIXES:
+                    family.add(batch)
+                    batch, size = [], 0
+            row = next(waiting, None)
+        family.add(batch)
+        for anchor, ctx, own in family.marks():
+            yield out(shard=shard, kind=1, anchor=anchor, ctx=ctx, marks=repeats.packed(own))
+        yield out(shard=shard, kind=0, **dict(zip(STATE, family.state(), strict=True)))
+
+
+class SuffixIndex:
+    """A lasting index in a shared folder; ``add`` commits a batch of documents, ``result`` answers all documents added.
+
+    The folder holds, for each batch, its documents, the runs of their windows,
+    and the families and marks of the shards that it touched. Passages enter a
+    family when their anchor is met for the second time, older ones included; so
+    unique text is never in an array. A batch counts once its last file is
+    written, and adding a batch id again changes nothing. shards is fixed when
+    the index is made: a task holds one shard's family, so it should follow the
+    repeated text that is expected (some 16 MB of it each).
+    """
+
+    def __init__(self, spark: SparkSession, path: str, length: int = LENGTH, gram: int = GRAM, shards: int = 64):
+        self.spark, self.path, self.length, self.gram, self.shards = spark, path.rstrip("/"), length, gram, shards
+
+    def _batches(self) -> list[str]:
+        top = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = top.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+        done = lambda p: fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{p}/grown/_SUCCESS"))
+        return sorted(p for s in fs.listStatus(top) if done(p := s.getPath().toString())) if fs.exists(top) else []
+
+    def _read(self, part: str) -> DataFrame | None:
+        parts = [self.spark.read.parquet(f"{b}/{part}").withColumn("batch", F.lit(n)) for n, b in enumerate(self._batches())]
+        out = None
+        for p in parts:
+            out = p if out is None else out.unionByName(p)
+        return out
+
+    def add(self, batch_id: str, docs: DataFrame) -> bool:
+        """Scan a batch of documents against the levels of all earlier ones. False if it was added before."""
+        known = self._batches()
+        names = [p.rsplit("/", 1)[1].split("-", 1)[1] for p in known]
+        if batch_id.encode().hex() in names:
+            return False
+        to = f"{self.path}/{len(known):06d}-{batch_id.encode().hex()}"
+        write = lambda df, part: df.write.mode("overwrite").option("compression", "zstd").parquet(f"{to}/{part}")
+        write(repeats.keyed(docs), "docs")
+        own = self.spark.read.parquet(f"{to}/docs")
+        write(repeats.runs_of(own, repeats.byte_symbols, self.length, self.gram, False), "runs")
+        runs = self.spark.read.parquet(f"{to}/runs")
+        counts = runs.groupBy("anchor").agg(F.count("*").alias("n"))
+        old_runs, old_docs = self._read("runs"), self._read("docs")
+        if old_runs is not None:
+            before = old_runs.groupBy("anchor").agg(F.count("*").alias("old"))
+            counts = common.cut(counts.join(before, "anchor", "left").na.fill(0, ["old"]).where("n + old > 1"), "anchors")
+            # runs whose anchor was alone until now enter with the batch
+            late = old_runs.drop("batch").join(counts.where("old = 1").select("anchor"), "anchor")
+            entering = runs.join(counts.select("anchor"), "anchor").unionByName(late)
+            own = own.unionByName(old_docs.drop("batch"))
+        else:
+            entering = runs.join(common.cut(counts.where("n > 1").select("anchor"), "anchors"), "anchor")
+        passages = common.cut(repeats.held_contexts(entering).select("anchor", "ctx", "cnt", "held.id", "held.row", "held.s", "held.n"), "open")
+        dealt = repeats.payloads(own, passages, passages.count(), repeats.byte_symbols, self.length).dropDuplicates(["anchor", "ctx"])
+        dealt = dealt.select(F.pmod(F.hash("anchor"), F.lit(self.shards)).alias("shard"), F.lit(1).alias("kind"), "anchor", "ctx", "id", "cnt", "payload", *[F.lit(None).cast("binary").alias(c) for c in STATE])
+        families = self._families()
+        if families is not None:
+            touched = common.cut(dealt.select("shard").distinct(), "touched")
+            stored = families.join(F.broadcast(touched), "shard")  # at most a row for each shard
+            dealt = dealt.unionByName(stored.select("shard", F.lit(0).alias("kind"), *[F.lit(None).cast("long").alias(c) for c in ("anchor", "ctx", "id", "cnt")], F.lit(None).cast("binary").alias("payload"), *STATE))
+        placed = dealt.repartition(self.shards, "shard").sortWithinPartitions("shard", "kind", "anchor", "ctx")
+        length = self.length
+        write(placed.mapInArrow(lambda it: _grow(it, length), "shard int, kind int, anchor long, ctx long, marks binary, " + ", ".join(f"{c} binary" for c in STATE)), "grown")
+        return True
+
+    def _newest(self, kind: int) -> DataFrame | None:
+        """Rows of that kind from the last batch that touched their shard."""
+        every = self._read("grown")
+        if every is None:
+            return None
+        last = every.where("kind = 0").groupBy("shard").agg(F.max("batch").alias("batch"))
+        return every.where(F.col("kind") == kind).join(F.broadcast(last), ["shard", "batch"])
+
+    def _families(self) -> DataFrame | None:
+        return self._newest(0)
+
+    def result(self, texts: bool = False) -> DataFrame:
+        """What ``dedup`` returns, for all documents of all batches."""
+        docs, runs = self._read("docs"), self._read("runs")
+        marks = self._newest(1).groupBy("anchor", "ctx").agg(F.collect_list("marks").alias("each"))
+        # a passage that entered in several batches has marks for each time
+        marks = marks.mapInArrow(_united, repeats.MARKS)
+        found = common.cut(repeats.ranges(repeats.covered(runs.drop("batch"), marks, self.length)), "ranges")
+        return _finished(docs.drop("batch"), found, texts)
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for each in batch.column("each").to_pylist():
+            pairs = np.concatenate([np.frombuffer(m, np.int32) for m in each]).reshape(-1, 2)
+            out.append(repeats.packed(np.unique(np.concatenate([np.arange(a, b) for a, b in pairs.tolist()]))))
+        yield pa.RecordBatch.from_arrays([batch.column("anchor"), batch.column("ctx"), pa.array(out, pa.binary())], names=["anchor", "ctx", "marks"])
+
+
+def _finished(own: DataFrame, ranges: DataFrame, texts: bool) -> DataFrame:
+    kind = dict(own.dtypes)["doc_id"]
+    return repeats.with_ranges(own, ranges).mapInArrow(lambda it: _kept(it, texts), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans binary, kept_bytes binary")
+
+
 def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, texts: bool = False, hot: int = repeats.HOT_CONTEXTS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (int32 pairs of removed byte ranges) and, if asked for, kept_bytes."""
     own = repeats.keyed(docs)
-    ranges = repeats.repeated_ranges(own, repeats.byte_symbols, "uint8", length, gram, False, _shard, hot)
-    kind = dict(docs.dtypes)["doc_id"]
-    return repeats.with_ranges(own, ranges).mapInArrow(lambda it: _kept(it, texts), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans binary, kept_bytes binary")
+    return _finished(own, repeats.repeated_ranges(own, repeats.byte_symbols, "uint8", length, gram, False, _shard, hot), texts)

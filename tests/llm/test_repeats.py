@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -58,38 +59,51 @@ def test_bytes(spark, hot):
     assert sorted(map(tuple, got.collect()), key=str) == bytes_expected(docs, 400)
 
 
-def test_large_groups_in_a_task(spark, monkeypatch):
-    docs = messy(6)
-    own = {}
-    for name in ("AUTOMATON_CONTEXTS",):
-        own[name] = getattr(suffix_automata, name)
-    monkeypatch.setattr(suffix_automata, "AUTOMATON_CONTEXTS", 1)
-    from gridloom.llm import kernels, repeats
+def met_expected(passages, length):
+    heads = [(k, s, data[s : s + length]) for k, (_, _, _, data) in enumerate(passages) for s in range(len(data) - length + 1)]
+    count = Counter(h for _, _, h in heads)
+    out = defaultdict(list)
+    for k, s, h in heads:
+        if count[h] > 1 or passages[k][2] > 1:
+            out[k].append(s)
+    return dict(out)
 
-    groups = defaultdict(list)
-    for i, t in docs:
-        if i is not None:
-            s, _ = repeats.word_symbols(*kernels.text_buffer(__import__("pyarrow").array([t or ""])))
-            groups[0].append((i, s))
-    g = {"anchor": [0] * len(groups[0]), "ctx": [*range(len(groups[0]))], "id": [i for i, _ in groups[0]], "cnt": [1] * len(groups[0]), "payload": [s.tobytes() for _, s in groups[0]]}
-    order = sorted(range(len(g["id"])), key=lambda k: g["id"][k])
-    g = {k: [v[i] for i in order] for k, v in g.items()}
-    few = {c: m.tolist() for _, c, m in suffix_automata._compare(iter([g]), 50)}
-    monkeypatch.setattr(suffix_automata, "AUTOMATON_CONTEXTS", own["AUTOMATON_CONTEXTS"])
-    assert few == {c: m.tolist() for _, c, m in suffix_automata._compare(iter([g]), 50)} and few
+
+def random_passages(seed, n):
+    r = random.Random(seed)
+    shared = [bytes(r.randrange(3) for _ in range(120)) for _ in range(5)]
+    return [(7, k, 1 + (r.random() < 0.1), bytes(r.randrange(2) for _ in range(r.randrange(30))) + r.choice(shared) + b"\0" * r.randrange(60)) for k in range(n)]
 
 
 def test_levels_merge(monkeypatch):
-    import numpy as np
-
-    family, r = suffix_levels.IndexFamily(), np.random.default_rng(1)
-    batches = [r.integers(0, 4000, 300).astype(np.uint64) for _ in range(16)]
-    for b in batches:
-        family.add(b, np.ones(len(b), np.int64))
-    every = np.concatenate(batches)
-    count = Counter(every.tolist())
-    assert family.repeated().tolist() == [count[x] > 1 for x in every.tolist()]
-    assert len(family.levels) <= 5
+    monkeypatch.setattr(suffix_levels, "STEP_SUFFIXES", 37)
+    monkeypatch.setattr(suffix_levels, "BATCH_SUFFIXES", 100)
+    every, family = random_passages(1, 160), suffix_levels.IndexFamily(40)
+    for lo in range(0, 160, 10):
+        family.add(every[lo : lo + 10])
+        assert len(family.levels) <= 12
+    assert {ctx: own.tolist() for _, ctx, own in family.marks()} == met_expected(every, 40)
+    for level in family.levels:  # suffix arrays: distinct heads in order
+        heads = [family.text[i : i + 40] for i in level.tolist()]
+        assert heads == sorted(set(heads))
+    again = suffix_levels.IndexFamily.restored(40, *family.state())
+    more = [(p[0], 1000 + p[1], p[2], p[3]) for p in random_passages(2, 20)]
+    again.add(more)
+    want = met_expected([*every, *more], 40)
+    assert {ctx if ctx < 1000 else ctx - 1000 + 160: own.tolist() for _, ctx, own in again.marks()} == want
+
+
+def test_lasting_index(spark, tmp_path):
+    """Batches added to an existing index: what all of them give at once."""
+    docs = messy(5, 30, 200)
+    index = suffix_levels.SuffixIndex(spark, str(tmp_path / "index"), shards=4)
+    for k in range(4):
+        assert index.add(f"b{k}", make(spark, docs[k::4]))
+    assert not index.add("b1", make(spark, docs[:3]))
+    later = suffix_levels.SuffixIndex(spark, str(tmp_path / "index"), shards=4)
+    assert later.add("none", make(spark, docs).where("false"))
+    got = later.result().drop("spans", "kept_bytes")
+    assert sorted(map(tuple, got.collect()), key=str) == bytes_expected(docs, 400)
 
 
 def test_empty_tables(spark):
