@@ -6,8 +6,9 @@
    number of its holders and the least of them.
 3. The symbols of each such passage go to the shard of its anchor, where the
    caller's kernel (suffix automata, suffix arrays) decides which of its windows
-   repeat. If only earlier documents count, later holders of a passage repeat as
-   a whole, and passages that are alone at their anchor need no kernel.
+   repeat. Passages that are alone at their anchor need no kernel: all of them
+   repeats with its second holder. If only earlier documents count, all later
+   holders of a passage repeat as a whole.
 4. An anchor with more passages than a task should hold is not sent to a shard:
    its windows are spread by their own fingerprints and aggregated instead.
 
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 
 from . import anchors, common, kernels
 
-#: Anchors with more distinct contexts are spread by window: a shard's task holds some megabytes of one anchor at most.
-HOT_CONTEXTS = 1 << 12
+#: Anchors with more distinct contexts are spread by window: a shard's task holds about a megabyte of one anchor at most.
+HOT_CONTEXTS = 1 << 10
 #: Up to so many rows of positions (some 40 bytes each) are broadcast to their documents; more are joined.
 BROADCAST_ROWS = 1 << 19
 MARKS = "anchor long, ctx long, marks binary"
@@ -128,9 +129,9 @@ def repeated_ranges(docs: DataFrame, symbols_of, dtype: str, length: int, k: int
     several = runs.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi") if earlier else runs.groupBy("anchor").count().where("count > 1")
     runs = common.cut(runs.join(common.cut(several.select("anchor"), "anchors"), "anchor"), "runs")
     contexts = common.cut(held_contexts(runs), "contexts")
-    sizes = common.cut(contexts.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1" if earlier else "true"), "sizes")
-    n_sizes = sizes.count()
-    met = contexts.join(F.broadcast(sizes) if n_sizes <= BROADCAST_ROWS else sizes.hint("merge"), "anchor")
+    sizes = common.cut(contexts.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1"), "sizes")
+    several_ = F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes.hint("merge")
+    met = contexts.join(several_, "anchor")
     open_ = common.cut(met.select("anchor", "ctx", "cnt", "m", "held.id", "held.row", "held.s", "held.n"), "open")
     n_open = open_.count()
     pick = lambda test: payloads(docs, open_.where(test), n_open, symbols_of, length)
@@ -143,10 +144,12 @@ def repeated_ranges(docs: DataFrame, symbols_of, dtype: str, length: int, k: int
         hits = spread.join(by_print, ["anchor", "print"]).where("id > first" if earlier else "true").groupBy("anchor", "ctx").agg(F.collect_list("o").alias("o"))
         marks = marks.union(hits.mapInArrow(_packed, MARKS))
     marks = common.cut(marks, "marks")
-    if not earlier:
-        return common.cut(ranges(covered(runs, marks, length)), "ranges")
+    end = (F.col("s") + F.col("n") - 1 + length).alias("e")
+    if not earlier:  # what is alone at its anchor has several holders
+        alone = runs.join(several_, "anchor", "left_anti").select("row", "s", end)
+        return common.cut(ranges(alone.union(covered(runs, marks, length))), "ranges")
     placed = common.cut(runs.join(contexts.select("anchor", "ctx", F.col("held.id").alias("first")), ["anchor", "ctx"]), "placed")
-    later = placed.where("id > first").select("row", "s", (F.col("s") + F.col("n") - 1 + length).alias("e"))
+    later = placed.where("id > first").select("row", "s", end)
     return common.cut(ranges(later.union(covered(placed.where("id = first"), marks, length))), "ranges")
 
 

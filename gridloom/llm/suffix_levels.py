@@ -23,10 +23,7 @@ nothing is removed.
 
 from __future__ import annotations
 
-import operator
-from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +33,9 @@ from pyspark.sql import functions as F
 from . import common, repeats
 
 LENGTH, GRAM = 400, 100
-#: Suffixes of a batch, and of a step of a merge scan, whose leading bytes are held at once.
-BATCH_SUFFIXES, STEP_SUFFIXES = 1 << 15, 1 << 14
+BATCH_SUFFIXES = 1 << 17
+#: Pairs of suffixes whose bytes are compared at once.
+COMPARED = 1 << 10
 #: A shard's task starts a new family at the next anchor once it holds so many suffixes.
 FAMILY_SUFFIXES = 1 << 19
 
@@ -47,15 +45,34 @@ class IndexFamily:
 
     def __init__(self, length: int = LENGTH) -> None:
         self.length = length
-        self.text, self.met = b"", np.zeros(0, bool)
-        self.levels: list[np.ndarray] = []
+        self._set_text(b"")
+        self.met = np.zeros(0, bool)
+        #: Each level: places in the order of their suffixes, and the suffixes' leading eight bytes.
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
         #: (anchor, ctx, start in the text, number of suffixes) of each passage.
         self.passages: list[tuple[int, int, int, int]] = []
         self.size = 0
 
-    def _heads(self, places: list[int]) -> list[bytes]:
-        text, n = self.text, self.length
-        return [text[i : i + n] for i in places]
+    def _set_text(self, text: bytes) -> None:
+        self.text, self.padded = text, np.frombuffer(text + bytes(max(8, self.length)), np.uint8)
+
+    def _keys(self, places: np.ndarray, depth: np.ndarray | int) -> np.ndarray:
+        """The eight bytes at this depth of each suffix as a number that sorts like them; what lies beyond the length counts as zero."""
+        left = self.length - depth
+        bytes_ = np.lib.stride_tricks.sliding_window_view(self.padded, 8)[places + depth]
+        key = bytes_.view(">u8").ravel().astype(np.uint64)
+        cut = (8 * np.maximum(8 - left, 0)).astype(np.uint64) if isinstance(left, np.ndarray) else np.uint64(8 * max(8 - left, 0))
+        return key >> cut << cut
+
+    def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The common prefix of each pair of suffixes, up to the length."""
+        heads = np.lib.stride_tricks.sliding_window_view(self.padded, self.length)
+        out = np.empty(len(a), np.int64)
+        for lo in range(0, len(a), COMPARED):
+            differ = heads[a[lo : lo + COMPARED]] != heads[b[lo : lo + COMPARED]]
+            first = differ.argmax(1)
+            out[lo : lo + COMPARED] = np.where(differ[np.arange(len(first)), first], first, self.length)
+        return out
 
     def add(self, passages: list[tuple[int, int, int, bytes]]) -> None:
         """A batch of passages (anchor, ctx, occurrences, bytes)."""
@@ -67,62 +84,73 @@ class IndexFamily:
             if count > 1:
                 again.append(starts[-1])
             at += len(data)
-        self.text = b"".join([self.text, *(p[3] for p in passages)])
+        self._set_text(b"".join([self.text, *(p[3] for p in passages)]))
         self.met = np.concatenate([self.met, np.zeros(at - len(self.met), bool)])
         for places in again:
             self.met[places] = True
         every = np.concatenate(starts) if starts else np.zeros(0, np.int64)
         self.size += len(every)
-        batch = self._suffix_array(every)
-        for level in self.levels:
-            for _ in self._merge_scan(level, batch):
-                pass
-        self.levels.append(batch)
-        while len(self.levels) > 1 and len(self.levels[-2]).bit_length() <= len(self.levels[-1]).bit_length():
-            b, a = self.levels.pop(), self.levels.pop()
-            self.levels.append(np.concatenate([*self._merge_scan(a, b), np.zeros(0, np.int64)]))
-
-    def _suffix_array(self, every: np.ndarray) -> np.ndarray:
-        """The places in the order of their suffixes, one for each distinct head."""
-        parts = []
-        for lo in range(0, len(every), BATCH_SUFFIXES):
-            places = every[lo : lo + BATCH_SUFFIXES]
-            heads = self._heads(places.tolist())
-            order = sorted(range(len(heads)), key=heads.__getitem__)
-            parts.append(self._distinct(places[order], [heads[i] for i in order]))
-        while len(parts) > 1:
-            parts = [np.concatenate([*self._merge_scan(*parts[i : i + 2])]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
-        return parts[0] if parts else every
-
-    def _distinct(self, places: np.ndarray, heads: list[bytes], before: tuple[int, bytes] | None = None) -> np.ndarray:
-        """Sorted places without those whose head equals the one before; both are met again."""
-        if before:
-            places, heads = np.append(before[0], places), [before[1], *heads]
-        same = np.fromiter(map(operator.eq, islice(heads, 1, None), heads), bool, len(heads) - 1) if heads else np.zeros(0, bool)
-        self.met[places[1:][same]] = True
-        self.met[places[:-1][same]] = True
-        keep = np.append(not before, ~same) if len(places) else np.zeros(0, bool)
-        return places[keep]
-
-    def _merge_scan(self, a: np.ndarray, b: np.ndarray) -> Iterator[np.ndarray]:
-        """Both arrays in one order, step by step; neighbours whose common prefix reaches the length are met again, and the earlier one stays."""
-        text, n = self.text, self.length
-        head = lambda i: text[i : i + n]
-        i = j = 0
-        last: tuple[int, bytes] | None = None
-        while i < len(a) or j < len(b):
-            # the next step ends where the first of both arrays' next pieces ends
-            top = min(head(x[min(k + STEP_SUFFIXES, len(x)) - 1]) for x, k in ((a, i), (b, j)) if k < len(x))
-            to_i = bisect_right(a, top, i, min(i + STEP_SUFFIXES, len(a)), key=head)
-            to_j = bisect_right(b, top, j, min(j + STEP_SUFFIXES, len(b)), key=head)
-            places = np.concatenate([a[i:to_i], b[j:to_j]])
-            heads = self._heads(places.tolist())
-            order = sorted(range(len(heads)), key=heads.__getitem__)  # two runs: one merge
-            heads = [heads[k] for k in order]
-            places = places[order]
-            yield self._distinct(places, heads, last)
-            last = int(places[-1]), heads[-1]
-            i, j = to_i, to_j
+        batch = level = self._suffix_array(every)
+        while self.levels and len(self.levels[-1][0]).bit_length() <= len(level[0]).bit_length():
+            older = self.levels.pop()
+            at, same = self._merge_scan(older, level)
+            level = tuple(np.insert(x, at[~same], y[~same]) for x, y in zip(older, level, strict=True))
+        for older in self.levels:
+            self._merge_scan(older, batch)
+        self.levels.append(level)
+
+    def _suffix_array(self, every: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places in the order of their suffixes, one for each distinct head, and their leading bytes.
+
+        Groups of suffixes that agree so far are parted by the eight bytes after
+        the common prefix of all of them, until every group is parted or equal.
+        """
+        key = self._keys(every, 0)
+        order = np.argsort(key, kind="stable")
+        places, leading = every[order], key[order]
+        new = np.ones(len(places), bool)
+        new[1:] = leading[1:] != leading[:-1]
+        settled = np.zeros(len(places), bool)
+        while True:
+            tied = ~new
+            tied[:-1] |= ~new[1:]
+            at = np.flatnonzero(tied & ~settled)
+            if not len(at):
+                break
+            heads = np.flatnonzero(new[at])
+            group = np.cumsum(new[at]) - 1
+            depth = np.minimum.reduceat(self._common(places[at], places[at[heads]][group]), heads)
+            equal = (depth >= self.length)[group]
+            settled[at[equal]] = True
+            self.met[places[at[equal]]] = True
+            at, group = at[~equal], group[~equal]
+            if len(at):
+                key = self._keys(places[at], depth[group])
+                order = np.lexsort((key, group))
+                places[at], key = places[at[order]], key[order]
+                new[at] = np.append(True, (group[1:] != group[:-1]) | (key[1:] != key[:-1]))
+        return places[new], leading[new]
+
+    def _merge_scan(self, level: tuple[np.ndarray, np.ndarray], batch: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Where each of the batch's suffixes belongs in the level, and whether it shares the whole length with the one there: both are met again then."""
+        (places, keys), (own, own_keys) = level, batch
+        low, high = np.searchsorted(keys, own_keys, "left"), np.searchsorted(keys, own_keys, "right")
+        same = np.zeros(len(own), bool)
+        open_ = np.flatnonzero(low < high)
+        while len(open_):
+            middle = (low[open_] + high[open_]) >> 1
+            x, y = places[middle], own[open_]
+            common = self._common(x, y)
+            equal = common >= self.length
+            same[open_[equal]] = True
+            self.met[x[equal]] = True
+            self.met[y[equal]] = True
+            at = np.minimum(common, self.length - 1)
+            after = self.padded[x + at] < self.padded[y + at]
+            low[open_] = np.where(equal, middle, np.where(after, middle + 1, low[open_]))
+            high[open_] = np.where(after & ~equal, high[open_], middle)
+            open_ = open_[(low[open_] < high[open_]) & ~equal]
+        return low, same
 
     def marks(self) -> Iterator[tuple[int, int, np.ndarray]]:
         """(anchor, ctx, offsets) of the passages with suffixes that were met again."""
@@ -132,16 +160,19 @@ class IndexFamily:
                 yield anchor, ctx, own
 
     def state(self) -> tuple[bytes, bytes, bytes, bytes, bytes]:
-        sizes = np.array([len(x) for x in self.levels], np.int64)
-        return self.text, np.packbits(self.met).tobytes(), np.array(self.passages, np.int64).tobytes(), sizes.tobytes(), np.concatenate([np.zeros(0, np.int64), *self.levels]).astype(np.int32).tobytes()
+        sizes = np.array([len(x) for x, _ in self.levels], np.int64)
+        places = np.concatenate([np.zeros(0, np.int64), *(x for x, _ in self.levels)]).astype(np.int32)
+        return self.text, np.packbits(self.met).tobytes(), np.array(self.passages, np.int64).tobytes(), sizes.tobytes(), places.tobytes()
 
     @classmethod
     def restored(cls, length: int, text: bytes, met: bytes, passages: bytes, sizes: bytes, levels: bytes) -> IndexFamily:
         own = cls(length)
-        own.text, own.met = text, np.unpackbits(np.frombuffer(met, np.uint8), count=len(text)).astype(bool)
+        own._set_text(text)
+        own.met = np.unpackbits(np.frombuffer(met, np.uint8), count=len(text)).astype(bool)
         own.passages = [tuple(p) for p in np.frombuffer(passages, np.int64).reshape(-1, 4).tolist()]
         own.size = sum(p[3] for p in own.passages)
-        own.levels = [*np.split(np.frombuffer(levels, np.int32).astype(np.int64), np.cumsum(np.frombuffer(sizes, np.int64))[:-1])] if sizes else []
+        parts = np.split(np.frombuffer(levels, np.int32).astype(np.int64), np.cumsum(np.frombuffer(sizes, np.int64))[:-1]) if sizes else []
+        own.levels = [(x, own._keys(x, 0)) for x in parts]
         return own
 
 

@@ -76,15 +76,14 @@ def random_passages(seed, n):
 
 
 def test_levels_merge(monkeypatch):
-    monkeypatch.setattr(suffix_levels, "STEP_SUFFIXES", 37)
-    monkeypatch.setattr(suffix_levels, "BATCH_SUFFIXES", 100)
+    monkeypatch.setattr(suffix_levels, "COMPARED", 37)
     every, family = random_passages(1, 160), suffix_levels.IndexFamily(40)
     for lo in range(0, 160, 10):
         family.add(every[lo : lo + 10])
         assert len(family.levels) <= 12
     assert {ctx: own.tolist() for _, ctx, own in family.marks()} == met_expected(every, 40)
     for level in family.levels:  # suffix arrays: distinct heads in order
-        heads = [family.text[i : i + 40] for i in level.tolist()]
+        heads = [family.text[i : i + 40] for i in level[0].tolist()]
         assert heads == sorted(set(heads))
     again = suffix_levels.IndexFamily.restored(40, *family.state())
     more = [(p[0], 1000 + p[1], p[2], p[3]) for p in random_passages(2, 20)]
