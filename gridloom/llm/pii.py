@@ -3,10 +3,15 @@
 Base entities (email, ip, card, phone) come from regular expressions and are the
 seeds. The words before a seed are a lexical pattern. Patterns and the
 identifier-like tokens after them form a bipartite graph that Spark scores in
-rounds: a pattern is as good as the mean score of its distinct instances, if it
-has enough of them; an instance is as good as the chance that not all of its
-patterns are wrong. Tokens that are no base entity and end with a high score
-become spans of kind `id`.
+rounds until no pattern is added: a pattern is as good as the mean score of
+those of its distinct instances that have one, if enough of these are good; an
+instance is as good as the chance that not all of its patterns are wrong. Tokens
+have no score until a good pattern reaches them. Those that are no base entity
+and end with a high score become spans of kind `id`.
+
+A token is identifier-like if it has at least six characters of A-Za-z0-9_- and
+four digits among them; a pattern is the two words before it, lower-cased, of
+whose text the last CONTEXT characters count.
 
 Texts are read once, and no text is shuffled: what goes on from there are rows
 of positions and short tokens. The expressions are written so that no attempt
@@ -35,29 +40,60 @@ PATTERNS = {
 }
 #: What a text must hold for the expression to be tried.
 HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-#: Tokens that may be identifiers: without white space, at least four digits among six to sixty-four characters of these.
-CANDIDATE = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]{0,60}[0-9])[A-Za-z0-9_-]{6,64}+(?![A-Za-z0-9_-])"
-MIN_DIGITS = 4
+#: Tokens that may be identifiers: at least six of these characters, four digits among them.
+CANDIDATE = r"(?<![A-Za-z0-9_-])(?=(?:[A-Za-z_-]*+[0-9]){4})[A-Za-z0-9_-]{6,}+"
 CONTEXT = 60
-ROUNDS, MIN_INSTANCES, CONFIDENCE = 3, 3, 0.7
+MIN_INSTANCES, CONFIDENCE = 3, 0.7
+#: Matches of a text are placed in runs of so many, and the runs by their lengths: the work on a text is not quadratic in its matches.
+RUN = 64
+#: Characters of the pieces that the words before a span are taken from.
+PIECE = 4096
 
 
-def _matches(text: Column, kind: str, pattern: str, hint: str | None) -> Column:
-    """Array of (start, end, kind, value) of all matches: cut at the matches, the pieces between them give the positions."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    both = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(m.alias("m"), F.length(g).alias("g"), F.length(m).alias("n")))
-    run = F.aggregate(
-        both,
-        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<s:int,e:int,k:int,v:string>>)").alias("out")),
+_NO_SPANS = "cast(array() as array<struct<s:int,e:int,k:int,v:string>>)"
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), value being computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _starts(runs: Column) -> Column:
+    """Where each run of matches begins in the text."""
+    sizes = F.transform(runs, lambda own: F.aggregate(own, F.lit(0), lambda n, x: n + x["g"] + x["n"]))
+    return F.aggregate(
+        sizes,
+        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out")),
+        lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
+        lambda acc: acc["out"],
+    )
+
+
+def _in_run(own: Column, at: Column, kind: str) -> Column:
+    return F.aggregate(
+        own,
+        F.struct(at.alias("at"), F.expr(_NO_SPANS).alias("out")),
         lambda acc, x: F.struct(
             (acc["at"] + x["g"] + x["n"]).alias("at"),
             F.concat(acc["out"], F.array(F.struct((acc["at"] + x["g"]).alias("s"), (acc["at"] + x["g"] + x["n"]).alias("e"), F.lit(KINDS.index(kind)).alias("k"), x["m"].alias("v")))).alias("out"),
         ),
         lambda acc: acc["out"],
     )
+
+
+def _matches(text: Column, kind: str, pattern: str, hint: str | None) -> Column:
+    """Array of (start, end, kind, value) of all matches: cut at the matches, the pieces between them give the positions."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    gaps = F.split(text, pattern, -1)
+    both = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(m.alias("m"), F.length(g).alias("g"), F.length(m).alias("n")))
+
+    def placed(every: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(every) / RUN).cast("int") - 1, F.lit(0))), lambda c: F.slice(every, c * RUN + 1, RUN))
+        return F.flatten(_let(cut, lambda runs: F.zip_with(runs, _starts(runs), lambda own, at: _in_run(own, at, kind))))
+
+    run = _let(both, placed)
     may = F.rlike(text, F.lit(pattern)) if hint is None else F.contains(text, F.lit(hint)) & F.rlike(text, F.lit(pattern))
-    return F.when(may, run).otherwise(F.expr("cast(array() as array<struct<s:int,e:int,k:int,v:string>>)"))
+    return F.when(may, run).otherwise(F.expr(_NO_SPANS))
 
 
 def luhn(value: Column) -> Column:
@@ -90,41 +126,61 @@ def rendered(spans: Column) -> Column:
 
 
 def contexts(text: Column, spans: Column) -> Column:
-    """For each span the pattern before it: the last two words, lower-cased, within CONTEXT characters."""
-    before = lambda x: F.substring(text, F.greatest(x["s"] + 1 - CONTEXT, F.lit(1)), F.least(x["s"], F.lit(CONTEXT)))
-    return F.transform(spans, lambda x: F.struct(x["s"], x["e"], x["k"], x["v"], F.lower(F.regexp_extract(before(x), r"(\S*\s*\S+)\s*$", 1)).alias("p")))
+    """For each span the pattern before it: the last two words, lower-cased, within CONTEXT characters. Taken from pieces of the text, so that a span doesn't read the whole of it."""
+    cut = F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / PIECE).cast("int")), lambda i: F.substring(text, i * PIECE + 1, PIECE))
+
+    def before(pieces: Column, at: Column) -> Column:
+        last = F.floor(at / PIECE).cast("int")
+        both = F.concat(F.when(last > 0, F.get(pieces, last - 1)).otherwise(F.lit("")), F.get(pieces, last))
+        to = at - F.greatest(last - 1, F.lit(0)) * PIECE
+        return F.substring(both, F.greatest(to + 1 - CONTEXT, F.lit(1)), F.least(to, F.lit(CONTEXT)))
+
+    return _let(cut, lambda pieces: F.transform(spans, lambda x: F.struct(x["s"], x["e"], x["k"], x["v"], F.lower(F.regexp_extract(before(pieces, x["s"]), r"(\S*\s*\S+)\s*$", 1)).alias("p"))))
+
 
+def _apart(tokens: Column, base: Column) -> Column:
+    """The tokens that no base span overlaps; base spans are looked at in runs, sorted by place, of which most are passed over as a whole."""
+    cut = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(base) / RUN).cast("int") - 1, F.lit(0))), lambda c: F.slice(base, c * RUN + 1, RUN))
+    runs = F.transform(F.filter(cut, lambda own: F.size(own) > 0), lambda own: F.struct(own.alias("own"), F.get(own, F.lit(0))["s"].alias("low"), F.array_max(F.transform(own, lambda b: b["e"])).alias("high")))
+    meets = lambda t: lambda own: (own["low"] < t["e"]) & (t["s"] < own["high"]) & F.exists(own["own"], lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"]))
+    return _let(runs, lambda every: F.filter(tokens, lambda t: ~F.exists(every, meets(t))))
 
-def bootstrap(edges: DataFrame, rounds: int = ROUNDS, min_instances: int = MIN_INSTANCES, confidence: float = CONFIDENCE) -> DataFrame:
-    """Unseen instances (v) with their scores, from edges (p, v, seed)."""
+
+def bootstrap(edges: DataFrame, min_instances: int = MIN_INSTANCES, confidence: float = CONFIDENCE) -> DataFrame:
+    """Unseen instances (v) with their scores, from edges (p, v, seed). Good patterns stay good, so the rounds end."""
     graph = common.cut(edges.groupBy("p", "v").agg(F.max("seed").alias("seed")), "pii-graph")
-    scores = graph.groupBy("v").agg(F.max("seed").cast("double").alias("score"))
-    for _ in range(rounds):
-        patterns = graph.join(scores, "v").groupBy("p").agg(F.avg("score").alias("c"), F.sum(F.when(F.col("score") >= confidence, 1).otherwise(0)).alias("good"))
-        patterns = common.cut(patterns.where((F.col("good") >= min_instances) & (F.col("c") >= confidence)), "pii-patterns")
-        reached = graph.join(patterns, "p").groupBy("v").agg(F.max("seed").alias("seed"), (1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("c"), F.lit(1e-9)))))).alias("x"))
-        seeds = graph.where("seed = 1").select("v").distinct().withColumn("score", F.lit(1.0))
-        others = graph.select("v").distinct().join(seeds, "v", "left_anti").join(reached.select("v", "x"), "v", "left").select("v", F.coalesce("x", F.lit(0.0)).alias("score"))
-        scores = common.cut(seeds.unionByName(others), "pii-scores")
-    return scores.join(graph.where("seed = 1").select("v").distinct(), "v", "left_anti").where(F.col("score") >= confidence)
+    seeds = common.cut(graph.where("seed = 1").select("v").distinct().withColumn("score", F.lit(1.0)), "pii-seeds")
+    unseen = graph.join(seeds.select("v"), "v", "left_anti")
+    scores, good, n = seeds, None, 0
+    while True:
+        rated = graph.join(scores, "v").groupBy("p").agg(F.avg("score").alias("c"), F.sum(F.when(F.col("score") >= confidence, 1).otherwise(0)).alias("good"))
+        rated = rated.where((F.col("good") >= min_instances) & (F.col("c") >= confidence)).select("p", "c")
+        good = common.cut(rated if good is None else good.unionByName(rated).groupBy("p").agg(F.max("c").alias("c")), "pii-patterns")
+        before, n = n, good.count()
+        reached = unseen.join(good, "p").groupBy("v").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("c"), F.lit(1e-9)))))).alias("score"))
+        reached = common.cut(reached, "pii-scores")
+        if n == before:
+            return reached.where(F.col("score") >= confidence)
+        scores = seeds.unionByName(reached)
 
 
-_NO_SPANS = "cast(array() as array<struct<s:int,e:int,k:int,v:string>>)"
 #: Documents with discovered spans up to this number are broadcast to their texts; more are joined.
 BROADCAST_ROWS = 1 << 16
 
 
-def _scanned(docs: DataFrame) -> DataFrame:
-    """(doc_id, row_key, base, x): base spans, and in x all base entities and candidates with the patterns before them."""
+def _scanned(docs: DataFrame, *carried: str) -> DataFrame:
+    """The carried columns and row_key, base, x: base spans, and in x all base entities and candidates with the patterns before them."""
     text = F.coalesce("text", F.lit(""))
-    own = common.only(docs, "doc_id", "text").select("doc_id", text.alias("text"), F.xxhash64("doc_id", text).alias("row_key"))
-    own = own.withColumn("base", base_spans(F.col("text")))
-    tokens = F.when(F.rlike("text", F.lit("(?:[0-9][^0-9]*+){4}")), F.filter(_matches(F.col("text"), "id", CANDIDATE, None), lambda x: F.length(F.regexp_replace(x["v"], "[^0-9]", "")) >= MIN_DIGITS))
+    own = docs.select(*carried, text.alias("pii_text"), F.xxhash64("doc_id", text).alias("row_key"))
+    text = F.col("pii_text")
+    own = own.withColumn("base", base_spans(text))
+    # the expression is tried only where a text holds four digits at all
+    tokens = F.when(F.rlike(text, F.lit("(?:[0-9][^0-9]*+){4}")), _matches(text, "id", CANDIDATE, None))
     own = own.withColumn("tokens", F.coalesce(tokens, F.expr(_NO_SPANS)))
-    own = own.withColumn("tokens", F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"]))))
+    own = own.withColumn("tokens", F.when((F.size("base") > 0) & (F.size("tokens") > 0), _apart(F.col("tokens"), F.col("base"))).otherwise(F.col("tokens")))
     none = F.expr("cast(array() as array<struct<s:int,e:int,k:int,v:string,p:string>>)")
     some = F.size("base") + F.size("tokens") > 0
-    return common.cut(own.select("doc_id", "row_key", "base", F.when(some, contexts(F.col("text"), F.concat("base", "tokens"))).otherwise(none).alias("x")), "pii")
+    return common.cut(own.select(*carried, "row_key", "base", F.when(some, contexts(text, F.concat("base", "tokens"))).otherwise(none).alias("x")), "pii")
 
 
 def _discovered(scanned: DataFrame) -> DataFrame:
@@ -136,18 +192,21 @@ def _discovered(scanned: DataFrame) -> DataFrame:
 
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, row_key, base and all spans (arrays of s, e, k, v) for every document."""
-    scanned = _scanned(docs)
+    scanned = _scanned(common.only(docs, "doc_id", "text"), "doc_id")
     spans = F.concat("base", F.coalesce("more", F.expr(_NO_SPANS)))
     return scanned.join(_discovered(scanned), "row_key", "left").select("doc_id", "row_key", "base", F.array_sort(spans).alias("spans"))
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
-    """The columns of docs, and pii_spans. Base spans are taken from the text again rather than joined to it."""
-    more = common.cut(_discovered(_scanned(docs)).withColumnRenamed("row_key", "pii_row"), "pii-more")
+    """The columns of docs, and pii_spans. Texts are scanned once and written with their base spans; what the bootstrap adds is joined to them."""
+    names = docs.columns
+    plain = docs.select(*[F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names)], "doc_id", "text")
+    scanned = _scanned(plain, *[f"c{i}" for i in range(len(names))])
+    more = common.cut(_discovered(scanned).withColumnRenamed("row_key", "pii_row"), "pii-more")
     side = F.broadcast(more) if more.count() <= BROADCAST_ROWS else more.hint("merge")
-    text = F.coalesce("text", F.lit(""))
-    joined = docs.withColumn("pii_key", F.xxhash64("doc_id", text)).join(side, F.col("pii_key") == F.col("pii_row"), "left")
-    return joined.withColumn("pii_spans", F.array_sort(F.concat(base_spans(text), F.coalesce("more", F.expr(_NO_SPANS))))).drop("pii_key", "pii_row", "more")
+    joined = scanned.drop("x").join(side, F.col("row_key") == F.col("pii_row"), "left")
+    spans = F.array_sort(F.concat("base", F.coalesce("more", F.expr(_NO_SPANS))))
+    return joined.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)], spans.alias("pii_spans"))
 
 
 def digest(found: DataFrame) -> DataFrame:

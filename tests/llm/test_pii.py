@@ -96,5 +96,76 @@ def test_whole_table(spark, sf):
 def test_candidates_without_adjacent_digits(spark):
     """A token's four digits count wherever they are, and whatever else the text holds."""
     rows = make(spark, [(1, "code A1B2C3D4"), (2, "code A1B2C3D4 and 12"), (3, "code A1B2C3D"), (4, "a1 b2 c3 d4")])
-    found = {r.doc_id: [x.v for x in r.x] for r in pii._scanned(rows).collect()}
+    found = {r.doc_id: [x.v for x in r.x] for r in pii._scanned(rows.select("doc_id", "text"), "doc_id").collect()}
     assert found == {1: ["A1B2C3D4"], 2: ["A1B2C3D4"], 3: [], 4: []}
+
+
+def discovered(docs):
+    """The bootstrap in plain Python: id spans of each document."""
+    graph, places = {}, {}
+    for i, t in docs:
+        t = t or ""
+        own = [(s, e, True) for s, _, _, e in base(t)]
+        for m in re.finditer(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{6,}", t):
+            if sum(c.isdigit() for c in m[0]) >= 4 and not any(s < m.end() and m.start() < e for s, e, k in own if k):
+                own.append((m.start(), m.end(), False))
+        for s, e, seed in own:
+            p = re.search(r"(\S*\s*\S+)\s*$", t[max(0, s - 60) : s])
+            if p:
+                p, v = p[1].lower(), t[s:e]
+                graph[p, v] = graph.get((p, v), False) or seed
+                if not seed:
+                    places.setdefault(v, []).append((i, s, e))
+    seeds = {v for (_, v), x in graph.items() if x}
+    good, reached = {}, {}
+    while True:
+        scores = {**reached, **{v: 1.0 for v in seeds}}
+        for p in {p for p, _ in graph}:
+            own = [scores[v] for q, v in graph if q == p and v in scores]
+            if sum(x >= 0.7 for x in own) >= 3 and sum(own) / len(own) >= 0.7:
+                good[p] = max(good.get(p, 0), sum(own) / len(own))
+        more = {}
+        for p, v in graph:
+            if p in good and v not in seeds:
+                more[v] = more.get(v, 1.0) * max(1 - good[p], 1e-9)
+        again = {v: 1 - x for v, x in more.items()}
+        if len(again) == len(reached):
+            return sorted((i, f"id:{s}:{e}") for v, x in again.items() if x >= 0.7 and v not in seeds for i, s, e in places.get(v, []))
+        reached = again
+
+
+def test_discovery_recall(spark):
+    """Identifiers after patterns that seeds share, and after patterns that only those reach: all are found, as by brute force, and tokens after other words aren't."""
+    import random
+
+    r = random.Random(3)
+    word = lambda: r.choice("lorem ipsum dolor sit amet elit sed do".split())
+    docs, planted = [], 0
+    for i in range(300):
+        kind = r.random()
+        some = " ".join(word() for _ in range(r.randrange(3, 20)))
+        code = f"K{r.randrange(10**5, 10**6)}-{r.randrange(100)}"
+        shared = f"K{5 * 10**6 + r.randrange(5)}"
+        if kind < 0.3:
+            some += f" reach me at u{i}@mail.example today"
+        elif kind < 0.5:
+            some, planted = f"{some} reach me at {code} today", planted + 1
+        elif kind < 0.6:
+            some, planted = f"{some} reach me at {shared} today", planted + 1
+        elif kind < 0.75:
+            some, planted = f"{some} badge number is {shared} here", planted + 1
+        elif kind < 0.85:
+            some, planted = f"{some} badge number is {code} here", planted + 1
+        else:
+            some += f" {word()} chapter {r.randrange(10**6, 10**7)}"
+        docs.append((i, some))
+    rows = pii.digest(pii.find(make(spark, docs))).collect()
+    got = sorted((x.doc_id, s) for x in rows for s in x.spans.split(",") if s.startswith("id:"))
+    assert got == discovered(docs)
+    assert len(got) == planted and planted > 100
+
+
+def test_very_many_matches(spark):
+    text = " ".join(f"u{i}@mail.example" for i in range(8000))
+    row = pii.digest(pii.find(make(spark, [(1, text)]))).drop("spans").collect()
+    assert [tuple(x) for x in row] == expected([(1, text)])
