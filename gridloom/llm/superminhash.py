@@ -9,17 +9,23 @@
    shared bands), on the full sets; confirmed links are merged by a distributed
    union-find that works on contracted edges.
 4. Groups of candidates that then still hold several components are compared
-   block against block; pairs of different components whose signatures do not
-   rule out the threshold are checked on the full sets, within the task that
+   block against block, by signatures only: a class goes on with a pair of
+   blocks if the other block has one of another component with enough slots
+   alike. Those that go on are checked on the full sets, within the task that
    holds both blocks, which returns only links that join components.
 
-A pair at the threshold is missed with probability (1 - t**r)**b, 5e-8 for
-t = 0.8, r = 4 and b = 32. No bucket, partner or candidate count is capped.
-
-Defined results: a null text, or one without words, has an empty set and is a
-component of its own; a text with fewer words than a shingle has one shingle,
-the whole sequence; rows that repeat a doc_id are returned once each, with one
-component.
+A pair at the threshold shares no band with probability (1 - t**r)**b, 5e-8 for
+t = 0.8, r = 4 and b = 32, and agrees in fewer slots than the floor of step 4
+(78 of 128) with probability 8e-8, by the binomial distribution, which
+SuperMinHash stays below; more similar pairs are missed more rarely. No bucket,
+partner or candidate count is capped.
+
+Defined results: a null text, or one without words, has an empty set and is
+linked with nothing; a text with fewer words than a shingle has one shingle, the
+whole sequence; rows that repeat a doc_id are one document, whatever their
+texts: their sets' links are links of that doc_id, and each row is returned with
+its own n_shingles and the one component; rows without doc_id are linked with
+nothing and kept, with no component.
 """
 
 from __future__ import annotations
@@ -35,12 +41,12 @@ from . import common, kernels
 
 SLOTS, ROWS = 128, 4
 BANDS = SLOTS // ROWS
-#: A pair whose signatures agree in fewer slots than this share of the threshold lies over five standard deviations below it.
+#: A pair whose signatures agree in fewer slots than this share of the threshold lies over five standard deviations below it (see above).
 SURELY_LESS = 0.77
 ELEMENTS = 1 << 16
 #: Ids up to this number are broadcast (16 MB) to fetch their documents; more are joined.
 BROADCAST_IDS = 1 << 20
-PAIR_BLOCK = 512
+PAIR_BLOCK = 1024
 #: Candidates that chains of shared bands connect are compared as one group up to this size, band by band beyond.
 LARGE_GROUP = 1 << 14
 
@@ -115,6 +121,13 @@ def band_keys(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return kernels.mix(keys + np.arange(keys.shape[1], dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+def set_sums(elements: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two fingerprints of each set, whatever the order of its elements."""
+    sums = (np.concatenate([np.zeros(1, np.uint64), np.cumsum(kernels.mix(x))]) for x in (elements + np.uint64(1), elements ^ np.uint64(0x5DEECE66D5DEECE6)))
+    low, high = (x[at[1:]] - x[at[:-1]] for x in sums)
+    return low, high
+
+
 def _describe(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         buf, offsets = kernels.text_buffer(batch.column("text"))
@@ -122,11 +135,9 @@ def _describe(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
         for a, b in kernels.blocks(offsets):
             elements, at = shingles(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], k)
             sizes = np.diff(at)
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(kernels.mix(elements + np.uint64(1)))])
-            more = np.concatenate([np.zeros(1, np.uint64), np.cumsum(kernels.mix(elements ^ np.uint64(0x5DEECE66D5DEECE6)))])
             n.append(sizes)
-            low.append(sums[at[1:]] - sums[at[:-1]])
-            high.append(more[at[1:]] - more[at[:-1]])
+            for out, own in zip((low, high), set_sums(elements, at), strict=True):
+                out.append(own)
             sig += [s.tobytes() if z else None for s, z in zip(short(signatures(elements, at)), sizes, strict=True)]
         join = lambda x: kernels.signed(np.concatenate(x).astype(np.uint64)) if x else np.zeros(0, np.int64)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(join(n)), pa.array(join(low)), pa.array(join(high)), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "set_low", "set_high", "sig"])
@@ -143,11 +154,17 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         buf, offsets = kernels.text_buffer(batch.column("text"))
-        out = []
+        out, n, low, high = [], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
         for a, b in kernels.blocks(offsets):
             elements, at = shingles(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], k)
             out += [elements[at[i] : at[i + 1]].tobytes() for i in range(b - a)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], names=["rep", "shingles"])
+            sums = set_sums(elements, at)
+            n.append(np.diff(at))
+            low.append(sums[0])
+            high.append(sums[1])
+        yield pa.RecordBatch.from_arrays(
+            [*(pa.array(kernels.signed(np.concatenate(x))) for x in (low, high)), pa.array(np.concatenate(n), pa.int64()), pa.array(out, pa.binary())], names=["set_low", "set_high", "n_shingles", "shingles"]
+        )
 
 
 def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -185,6 +202,24 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.
         yield pa.concat_tables(held).combine_chunks()
 
 
+def _going_on(batches: Iterator[pa.RecordBatch], percent: int, floor: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a pair of blocks that have one of another component and of fitting size, with at least ``floor`` slots alike, in the other block (or in theirs, for a block with itself)."""
+    for group in sorted_groups(batches, "g", "i", "j"):
+        sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint16).reshape(len(group), -1)
+        comp, block, size = (group.column(c).to_numpy() for c in ("comp", "block", "n_shingles"))
+        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        on = np.zeros(len(group), bool)
+        for x in left.tolist():
+            other = right[comp[right] != comp[x]]
+            other = other[np.minimum(size[other], size[x]) * 100 >= np.maximum(size[other], size[x]) * percent]
+            other = other[(sig[other] == sig[x]).sum(1) >= floor]
+            if len(other):
+                on[x] = True
+                on[other] = True
+        yield from group.filter(pa.array(on)).to_batches()
+
+
 def _block_links(batches: Iterator[pa.RecordBatch], percent: int, floor: int) -> Iterator[pa.RecordBatch]:
     """Links that join components, found between two blocks of a group: pairs that agree in at least ``floor`` slots are checked on the full sets, unless links found before have joined them."""
     for group in sorted_groups(batches, "g", "i", "j"):
@@ -217,10 +252,18 @@ def by_size(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge")
 
 
-def _fetch_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(rep, shingles) of these documents. Their ids are broadcast up to a checked number, else joined."""
-    docs = common.only(docs, "doc_id", "text").join(by_size(ids.withColumnRenamed("rep", "wanted")), F.col("doc_id") == F.col("wanted"), "left_semi")
-    return docs.mapInArrow(lambda it: _sets(it, k), "rep long, shingles binary")
+def _class(df: DataFrame) -> DataFrame:
+    return df.withColumn("rep", F.xxhash64("set_low", "set_high", "n_shingles"))
+
+
+def _fetch_sets(docs: DataFrame, wanted: DataFrame, k: int, several: bool) -> DataFrame:
+    """(rep, shingles) of these classes (rep, holder), from the texts of their holders. several: a doc_id may stand in more than one row."""
+    ids = wanted.select(F.col("holder").alias("wanted")).distinct()
+    held = docs.join(by_size(ids), F.col("doc_id") == F.col("wanted"), "left_semi").select("text")
+    sets = _class(held.mapInArrow(lambda it: _sets(it, k), "set_low long, set_high long, n_shingles long, shingles binary")).select("rep", "shingles")
+    if several:  # those of the holders' other rows go, and one for each class stays
+        sets = sets.join(by_size(wanted.select("rep")), "rep", "left_semi").dropDuplicates(["rep"])
+    return sets
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -270,17 +313,26 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     """
     own = common.only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     described = common.cut(own.mapInArrow(lambda it: _describe(it, k), "doc_id long, n_shingles long, set_low long, set_high long, sig binary"), "described")
+    described = _class(described)
     full = described.where("n_shingles > 0 and doc_id is not null")
-    key = ["set_low", "set_high", "n_shingles"]
-    classes = common.cut(full.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
+    # rep stands for a class of equal sets; it is fetched from the texts of the doc_ids that hold it
+    classes = common.cut(full.groupBy("rep").agg(F.min("doc_id").alias("holder"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")), "classes")
     # candidates: each class with the least class of each of its bands, one row for each such pair
     bands = classes.select("rep", "sig").mapInArrow(_bands, "key long, rep long")
     shared = common.cut(bands.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("most"), F.count("*").alias("n")).where("hub < most").select("key", "hub", "n"), "buckets")
     members = common.cut(bands.join(shared, "key"), "members")
     best = members.where("rep <> hub").groupBy("rep", "hub").count().groupBy("rep").agg(F.max_by("hub", F.struct("count", -F.col("hub"))).alias("hub"))
     pairs = common.cut(best.select(F.col("hub").alias("a"), F.col("rep").alias("b")), "pairs")
-    sets = common.cut(_fetch_sets(docs, members.select("rep").distinct(), k), "sets")
-    first = components(_confirmed(pairs, sets, percent))
+    wanted = classes.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "holder")
+    # doc_ids in several rows: different sets of theirs join their classes
+    repeated = common.cut(full.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("most"), F.count("*").alias("n")).where("n > 1").select("doc_id", "a", "most"), "repeated")
+    several = not repeated.isEmpty()
+    sets = common.cut(_fetch_sets(own, wanted, k, several), "sets")
+    links = _confirmed(pairs, sets, percent)
+    if several:
+        differ = repeated.where("a < most").select("doc_id", "a")
+        links = links.union(full.join(by_size(differ), "doc_id").where("rep <> a").select("a", F.col("rep").alias("b")))
+    first = components(links)
     # groups of candidates that still hold several components: what shared bands connect, or single bands where that is too large
     near = components(members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")))
     large = near.groupBy("root").count().where(F.col("count") > LARGE_GROUP).select(F.col("root").alias("group"))
@@ -289,19 +341,27 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     grouped = common.cut(grouped.join(first.withColumnRenamed("node", "rep"), "rep", "left").select("g", "rep", F.coalesce("root", "rep").alias("comp")), "groups")
     mixed = common.cut(grouped.groupBy("g").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n")).where("x < y").select("g", "n"), "mixed")
     left = grouped.join(mixed, "g").withColumn("blocks", F.ceil(F.col("n") / PAIR_BLOCK).cast("int"))
-    left = left.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).join(classes.select("rep", "sig"), "rep").join(sets, "rep")
+    left = left.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).join(classes.select("rep", "sig", "n_shingles"), "rep")
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = left.select("g", "rep", "comp", "sig", "shingles", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    dealt = left.repartition(common.parallelism(docs.sparkSession), "g", "i", "j").sortWithinPartitions("g", "i", "j")
+    left = left.select("g", "rep", "comp", "sig", "n_shingles", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     floor = int(SURELY_LESS * percent / 100 * SLOTS)
-    links = common.cut(dealt.mapInArrow(lambda it: _block_links(it, percent, floor), "a long, b long"), "links")
+    deal = lambda df: df.repartition(common.parallelism(docs.sparkSession), "g", "i", "j").sortWithinPartitions("g", "i", "j")
+    on = common.cut(deal(left).mapInArrow(lambda it: _going_on(it, percent, floor), left.schema), "going")
+    links = common.cut(deal(on.join(sets, "rep")).mapInArrow(lambda it: _block_links(it, percent, floor), "a long, b long"), "links")
     to_comp = first.select(F.col("node").alias("a"), F.col("root").alias("ra"))
     in_comp = links.join(to_comp, "a", "left").join(to_comp.select(F.col("a").alias("b"), F.col("ra").alias("rb")), "b", "left")
     second = components(in_comp.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
-    # back to documents
-    roots = classes.select(*key, "rep").join(first.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("root", "rep").alias("root"))
-    roots = roots.join(second.select(F.col("node").alias("root"), F.col("root").alias("above")), "root", "left").select(*key, F.coalesce("above", "root").alias("component_id"))
-    out = described.select("doc_id", *key).join(roots, key, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    # back to documents: the least doc_id of all classes of a component
+    roots = classes.select("rep", "holder").join(first.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "holder", F.coalesce("root", "rep").alias("root"))
+    roots = common.cut(roots.join(second.select(F.col("node").alias("root"), F.col("root").alias("above")), "root", "left").select("rep", "holder", F.coalesce("above", "root").alias("root")), "roots")
+    least = common.cut(roots.groupBy("root").agg(F.min("holder").alias("component_id")), "least")
+    named = roots.join(least, "root").select("rep", "component_id")
+    out = described.join(named.withColumn("known", F.lit(True)), (described.rep == named.rep) & described.doc_id.isNotNull() & (described.n_shingles > 0), "left").select(described.doc_id, "n_shingles", "component_id")
+    # an empty text of a doc_id that has others as well goes with them
+    texts = common.cut(out, "found")
+    empty = texts.where("doc_id is not null and component_id is null").select("doc_id").distinct()
+    others = common.cut(texts.where("component_id is not null").join(empty, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("other")), "others")
+    out = texts.join(by_size(others), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "other", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
@@ -309,21 +369,20 @@ def brute_force(texts: list[tuple[int, str | None]], k: int, percent: int) -> li
     """The definition, all pairs; for tests."""
     import re
 
-    sets = {}
+    sets = []
     for i, t in texts:
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-        sets[i] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} or ({tuple(w)} if w else set())
-    root = {i: i for i in sets}
+        sets.append((i, {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} or ({tuple(w)} if w else set())))
+    root = {i: i for i, _ in sets if i is not None}
 
     def find(i):
         while root[i] != i:
             i = root[i]
         return i
 
-    ids = sorted(sets)
-    for x, i in enumerate(ids):
-        for j in ids[x + 1 :]:
-            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
-                a, b = sorted((find(i), find(j)))
-                root[b] = a
-    return [(i, len(sets[i]), find(i), find(i) == i) for i in ids]
+    for x, (i, a) in enumerate(sets):
+        for j, b in sets[x + 1 :]:
+            if a and b and i is not None and j is not None and 100 * len(a & b) >= percent * len(a | b):
+                low, high = sorted((find(i), find(j)))
+                root[high] = low
+    return [(i, len(a), find(i) if i is not None else None, i is None or find(i) == i) for i, a in sets]

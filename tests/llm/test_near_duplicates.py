@@ -14,10 +14,33 @@ def shape(rows):
 def test_messy(spark, k):
     docs = messy(7, 40, 120)
     got = superminhash.near_duplicates(make(spark, docs), k=k)
-    want = superminhash.brute_force([d for d in docs if d[0] is not None], k, 80)
-    own = [tuple(r) for r in got.collect()]
-    assert shape({r for r in own if r[0] is not None}) == shape(want)
-    assert len(own) == len(docs)
+    assert shape(map(tuple, got.collect())) == shape(superminhash.brute_force(docs, k, 80))
+
+
+def test_repeated_ids(spark):
+    """A doc_id in several rows is one document, whose links are those of all its texts; an empty text of it goes with them."""
+    rows = [(3, "a b c d"), (5, "a b c d"), (5, "x y z w"), (7, "x y z w"), (7, "x y z w"), (8, "q r s t"), (8, ""), (9, None), (9, None), (10, "q r s t"), (None, "a b c d"), (None, "x y z w")]
+    got = [tuple(r) for r in superminhash.near_duplicates(make(spark, rows), k=2).collect()]
+    assert shape(got) == shape(superminhash.brute_force(rows, 2, 80))
+    assert {(i, c) for i, _, c, _ in got} == {(3, 3), (5, 3), (7, 3), (8, 8), (9, 9), (10, 8), (None, None)}
+
+
+def test_links_at_the_threshold(spark):
+    """Copies whose similarity is 0.8 to 0.85, one pair each: all links are found (recall 1; 0.9 is asked for)."""
+    import random
+
+    r, rows = random.Random(9), []
+    while len(rows) < 1200:
+        n = r.randrange(60, 200)
+        words = [f"w{r.randrange(10**6)}" for _ in range(n)]
+        other = words[:]
+        for at in r.sample(range(1, n - 1), max(1, round(n * 0.1 / 2))):
+            other[at] = f"x{r.randrange(10**6)}"
+        a, b = ({*zip(w, w[1:])} for w in (words, other))
+        if 0.8 <= len(a & b) / len(a | b) < 0.85:
+            rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(other))]
+    got = superminhash.near_duplicates(make(spark, rows), k=2).where("not kept").count()
+    assert got == len(rows) // 2
 
 
 def test_threshold_chains_and_blocks(spark, monkeypatch):
