@@ -106,11 +106,14 @@ def _bundle(batches: Iterator[pa.RecordBatch], dimensions: int) -> Iterator[pa.R
 
 
 def prototypes(training: DataFrame, dimensions: int = DIMENSIONS) -> dict[str, np.ndarray]:
-    """The bundle of each language over all training rows (text and lang not null). The driver gets one row for each language and task."""
+    """The bundle of each language over all training rows (text and lang not null). Tasks' vectors are summed by language and dimension; the driver gets one number for each of these."""
     rows = common.only(training, "text", "lang").where("text is not null and lang is not null")
     parts = rows.mapInArrow(lambda it: _bundle(it, dimensions), "lang string, vector array<double>")
-    summed = parts.groupBy("lang").agg(F.expr("aggregate(collect_list(vector), array_repeat(0d, %d), (s, x) -> zip_with(s, x, (a, b) -> a + b))" % dimensions).alias("vector"))
-    return {r.lang: np.array(r.vector) for r in summed.collect()}
+    summed = parts.select("lang", F.posexplode("vector").alias("at", "v")).groupBy("lang", "at").agg(F.sum("v").alias("v"))
+    out: dict[str, np.ndarray] = {}
+    for r in summed.toLocalIterator():
+        out.setdefault(r.lang, np.zeros(dimensions))[r["at"]] = r.v
+    return out
 
 
 def predict(texts: list[str | None], names: list[str], matrix: np.ndarray, dimensions: int) -> tuple[list[str], np.ndarray]:

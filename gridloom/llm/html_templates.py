@@ -5,7 +5,8 @@ on how many different pages of a host each hash occurs, and subtrees that recur
 on at least MIN_PAGES pages and half of the host's pages are deleted as the
 site's template. Around that stand the fixed rules of HTML: elements that never
 are main text (menus, footers, asides, forms, scripts and the like, or named so
-by class, id or role) go, and where a page marks its article, only that is kept.
+by class, id or role) go, inline elements too, without parting the block that
+they stand in, and where a page marks its article, only that is kept.
 Names are whole words of a class or id, or compounds of nothing but names and
 the words that go with them: `no-ads` and `right-sidebar` are no names. A marked
 article stays inside whatever else is dropped, such as a form around the page,
@@ -44,15 +45,19 @@ ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|
 RAW = ("script", "style", "textarea", "title", "noscript", "iframe", "xmp")
 RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>|\Z", re.I) for t in RAW}
 BLOCKS = frozenset(
-    "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul svg canvas object select button template video audio map math datalist optgroup label".split()
+    "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NEVER = frozenset("nav footer aside form head script style svg canvas object select button template video audio map menu dialog fieldset datalist search label".split())
+#: Inline elements that may end with their start tag.
+FOREIGN = frozenset("svg math".split())
 TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li ol ul dl dt dd blockquote pre table tbody thead tfoot tr td th figure figcaption main article".split())
 NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion menu nav navbar navigation breadcrumb breadcrumbs sidebar footer cookie cookies consent notice notices gdpr comment comments reply replies disqus respond share sharing social related recommended newsletter subscribe subscription popup modal overlay widget toolbar pagination pager skip login signup masthead copyright legal disclaimer tags toc".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+#: Words that articles use as classes, too: names in compounds only, such as related-posts.
+WEAK = frozenset("legal related tags toc".split())
 #: In compounds, words that follow names, and words before names of the last kind.
 AFTER = frozenset("area bar block box button buttons container inner item items link links list posts section slot unit wrap wrapper".split())
 BEFORE, PLACES = frozenset("bottom global main page primary secondary site top".split()), frozenset("breadcrumb breadcrumbs footer header masthead menu nav navbar navigation".split())
@@ -67,10 +72,11 @@ WALLS = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "tr":
 
 
 class Node:
-    __slots__ = ("tag", "junk", "marked", "parts", "texts", "digest", "parent", "dropped")
+    __slots__ = ("tag", "junk", "marked", "parts", "texts", "digest", "parent", "dropped", "depth")
 
     def __init__(self, tag: str, junk: int, marked: bool, parent: Node | None):
         self.tag, self.junk, self.marked, self.parent = tag, junk, marked, parent
+        self.depth = parent.depth + 1 if parent else 0
         self.parts: list[Node | str] = []
         self.digest, self.dropped = b"", False
 
@@ -80,6 +86,8 @@ def _name(token: str, names: frozenset) -> set[str]:
     words = [w for w in re.split(r"[^a-z0-9]+", token) if w]
     if len(words) > 1 and words[0] in BEFORE and words[-1] in PLACES:
         words = words[1:]
+    if len(words) == 1 and words[0] in WEAK:
+        return set()
     return set(words) & names if words and words[0] in names and set(words) <= names | AFTER else set()
 
 
@@ -106,10 +114,13 @@ def _inherited(tag: str, level: int) -> int:
 
 
 def parse(html: str) -> Node:
-    """The tree of block elements; inline markup leaves only its text."""
+    """The tree of block elements; inline markup leaves only its text, and that of dropped inline elements goes: up to their end, or that of the block around them."""
     root = Node("", 0, False, None)
     top, at, size = root, 0, len(html)
     text: list[str] = []
+    hidden: list[tuple[str, int, int]] = []  # open inline elements that are dropped, and those of their name inside: tag, depth of the block, level
+
+    hidden_in: dict[int, list[tuple[str, int, int]]] = {}
 
     def flush() -> None:
         if text:
@@ -121,15 +132,21 @@ def parse(html: str) -> Node:
     def pop(to: Node | None) -> None:
         nonlocal top
         while top is not to:
-            top.digest = _digest(top)
+            left, top.digest = top, _digest(top)
             top = top.parent
+            if id(left) in hidden_in:  # back in the dropped inline element around the block
+                hidden[:] = hidden_in.pop(id(left))
+        while hidden and top and hidden[-1][1] > top.depth:
+            hidden.pop()
 
     while at < size:
         m = TOKEN.search(html, at)
         if not m:
-            text.append(html[at:])
+            if not hidden:
+                text.append(html[at:])
             break
-        text.append(html[at : m.start()])
+        if not hidden:
+            text.append(html[at : m.start()])
         at = m.end()
         if not m[2]:
             continue
@@ -142,13 +159,16 @@ def parse(html: str) -> Node:
                     node = node.parent
                 if node is not root:
                     pop(node.parent)
+            elif hidden and hidden[-1][0] == tag and hidden[-1][1] == top.depth:
+                hidden.pop()
             continue
         if tag in RAW_END:
             end = RAW_END[tag].search(html, at)
             at = end.end()
             continue
         if tag == "br":
-            text.append(" ")
+            if not hidden:
+                text.append(" ")
         elif tag == "hr":
             flush()
         elif tag in BLOCKS and tag not in EMPTY:
@@ -165,10 +185,19 @@ def parse(html: str) -> Node:
             if node is not top:
                 pop(node)
             marked = top.marked or tag in ("article", "main")
-            child = Node(tag, max(_inherited(tag, top.junk), _junk(tag, m[3], marked)), marked, top)
-            if not m[3].rstrip().endswith("/") or tag not in ("svg", "canvas"):
-                top.parts.append(child)
-                top = child
+            above = max(top.junk, hidden[-1][2] if hidden else 0)
+            child = Node(tag, max(_inherited(tag, above), _junk(tag, m[3], marked)), marked, top)
+            top.parts.append(child)
+            top = child
+            if hidden:  # its own text is judged by its level
+                hidden_in[id(child)] = hidden[:]
+                hidden.clear()
+        elif tag not in EMPTY and not (tag in FOREIGN and m[3].rstrip().endswith("/")):
+            level = _junk(tag, m[3], top.marked)
+            if hidden and hidden[-1][0] == tag:
+                hidden.append((tag, top.depth, max(level, hidden[-1][2])))
+            elif level and not hidden:
+                hidden.append((tag, top.depth, level))
     flush()
     pop(None)
     return root

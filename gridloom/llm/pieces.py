@@ -3,7 +3,8 @@
 When no piece of the model has a whitespace marker after another character, no
 merge crosses the place where a marked word begins, so the words can be
 segmented one by one. A task keeps a table of the marked words it has met, each
-segmented once, and joins their ids back by position. The table is emptied when
+segmented once, and joins their ids back by position; the text's ids are then
+decoded by the library. The table is emptied when
 it reaches a bound, which changes no result. A model whose pieces do cross
 markers, or whose normaliser rewrites text, is applied to whole texts instead.
 
@@ -39,7 +40,7 @@ class Segmenter:
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.entries, self.table, self.odd = entries, {}, {}
+        self.entries, self.table = entries, {}
         self.chunked = self._separable()
         pieces = [self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size())]
         self.marked = np.array([p.startswith(MARK) for p in pieces])
@@ -65,7 +66,6 @@ class Segmenter:
             return
         if len(self.table) + len(new) > self.entries:
             self.table.clear()
-            self.odd.clear()
             new = [*chunks]
         plain = [c for c in new if c and MARK not in c]
         text = " ".join(plain)
@@ -80,8 +80,6 @@ class Segmenter:
         for chunk in new:
             own = self.sp.encode(chunk)
             self.table[chunk] = ",".join(map(str, own)) if chunk else self.lone
-            if (back := self.sp.decode(own)) != chunk.replace(MARK, " "):
-                self.odd[chunk] = back
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple[str, str]]:
         """For each text all ids in decimal, joined by commas, and their decoded text."""
@@ -104,10 +102,7 @@ class Segmenter:
         self.fill(set().union(*split))
         for text, chunks in zip(texts, split, strict=True):
             ids = ",".join(map(self.table.__getitem__, chunks))
-            if self.odd and not self.odd.keys().isdisjoint(chunks):
-                yield ids, " ".join(self.odd.get(c, c.replace(MARK, " ")) for c in chunks)
-            else:
-                yield ids, (text or "").replace(MARK, " ")
+            yield ids, self.sp.decode([*map(int, ids.split(","))]) if ids else ""
 
 
 _cached: dict[bytes, Segmenter] = {}

@@ -62,3 +62,41 @@ def test_wrappers_do_not_delete_the_article(spark):
     kept += [f"<article><h1>Head</h1><p>Text</p><div class='{c}'>no</div></article>" for c in ("ad", "cookie-notice", "ad-container", "site-footer", "share_buttons", "x sidebar")]
     got = texts(spark, [(i, f"http://h{i}.example/", h) for i, h in enumerate(kept)])
     assert {i: t for i, t in got.items() if t != "Head\n\nText"} == {}
+
+
+def test_inline_elements():
+    """Dropped inline elements go without parting the paragraph; class words that articles use stay."""
+    cases = {
+        "<p>one <span class='advert'>buy <span>now</span> cheap</span> two</p>": "one two",
+        "<p><a class='skip' href='#m'>Skip</a>one <button>x</button>two <label>l</label>three</p>": "one two three",
+        "<p>a <svg width=1><text>t</text></svg>b <math><mi>x</mi></math> c <svg/>d</p>": "a b x c d",
+        "<article><p class='legal'>law</p><p class='tags'>words</p><div class='related'>more</div></article>": "law\n\nwords\n\nmore",
+        "<div><span class='ad'>never closed</div><p>kept</p>": "kept",
+        "<div><a class='advert'><div>block <b>in</b> it</div> tail</a> after</div>": "after",
+        "<p>x <select><option>1<option>2</select> y <object>o</object>z</p>": "x y z",
+        "<p>a<!-- <span class='ad'> -->b <span class='notice-bar'>n</span></p>": "ab",
+        "<p>plain <span class='no-ads'>kept</span></p>": "plain kept",
+    }
+    for html, want in cases.items():
+        assert html_templates.main_text(html_templates.parse(html)) == want, html
+
+
+def test_whole_pages_by_counting(spark):
+    """Every page of a table as by counting subtrees in one process."""
+    from collections import Counter
+
+    folder = "/root/testdata/sf0.01"
+    rows = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url", "html").collect()]
+    trees = [html_templates.parse(h or "") for _, _, h in rows]
+    sites, seen = Counter(), Counter()
+    for (site, digest), keys in {(html_templates.host(u), t.digest): {n.digest for n in html_templates.candidates(t)} for (_, u, h), t in zip(rows, trees) if h}.items():
+        sites[site] += 1
+        seen.update((site, k) for k in keys)
+    want = []
+    for (i, u, h), t in zip(rows, trees):
+        site = html_templates.host(u)
+        for n in html_templates.candidates(t) if h else []:
+            n.dropped = seen[site, n.digest] >= 4 and seen[site, n.digest] >= 0.5 * sites[site]
+        text = html_templates.main_text(t) if h else ""
+        want.append((i, u, text, len(text)))
+    assert sorted(map(tuple, html_templates.extract(spark.read.parquet(f"{folder}/pages.parquet")).collect())) == sorted(want)
