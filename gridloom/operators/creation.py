@@ -44,8 +44,10 @@ def sparse_empty(shape, dtype=np.float32, tile_hint=None):
 
 
 def ndarray(shape, dtype=np.float64, tile_hint=None, reduce_fn=None, sparse=False):
-    """A place to write to; reduce_fn goes to shuffle() or write(), which combine what meets in a cell."""
-    return sparse_empty(shape, dtype) if sparse else full(shape, 0, dtype)
+    """A place to write to; reduce_fn (two Columns to one) is how write() combines what meets in a cell."""
+    out = sparse_empty(shape, dtype) if sparse else full(shape, 0, dtype)
+    out.reduce_fn = reduce_fn
+    return out
 
 
 def full_like(x, fill_value, dtype=None, tile_hint=None):

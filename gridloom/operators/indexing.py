@@ -131,7 +131,8 @@ def assign(x, index, value) -> GridArray:
 
 
 def write(x, src_slices, data, dst_slices=None, reducer=None) -> GridArray:
-    """x with x[src_slices] = data[dst_slices]; a reducer (two Columns to one) combines it with what was there."""
+    """x with x[src_slices] = data[dst_slices]; a reducer (two Columns to one), if not given that of ndarray(), combines it with what was there and stays with the result."""
+    reducer = reducer or getattr(x, "reduce_fn", None)
     data = as_array(data)
     data = data if dst_slices is None else data[dst_slices]
     if reducer is None:
@@ -139,7 +140,9 @@ def write(x, src_slices, data, dst_slices=None, reducer=None) -> GridArray:
     x = as_array(x).dense()
     placed = assign(GridArray(x.df, x.shape, x.dtype, F.lit(None).cast(SPARK_TYPES[x.dtype])), src_slices, data)
     a, b = elementwise.joined(x, placed)
-    return GridArray(a.df, x.shape, x.dtype, F.when(b.value.isNull(), a.value).otherwise(reducer(a.value, b.value)))
+    out = GridArray(a.df, x.shape, x.dtype, F.when(b.value.isNull(), a.value).otherwise(reducer(a.value, b.value)))
+    out.reduce_fn = reducer
+    return out
 
 
 def region_map(x, regions, fn) -> GridArray:

@@ -7,6 +7,7 @@ the same length. Functions of tiles get whole dense blocks.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..array import SPARK_TYPES, GridArray, as_array, coords, dtype_name
+from ..session import kept
 from . import elementwise
 
 
@@ -140,3 +142,14 @@ def tile_operation(x: GridArray, tile: tuple[int, ...], fn: Callable[[np.ndarray
             yield pa.RecordBatch.from_arrays([*(batch.column(f"t{n}") for n in range(k)), pa.array(out, pa.float64())], names=[*(f"t{n}" for n in range(k)), "value"])
 
     return tiles(x, tile).mapInArrow(run, ", ".join([*(f"t{n} long" for n in range(k)), "value double"]))
+
+
+def not_idempotent(operator: Callable[..., GridArray]) -> Callable[..., GridArray]:
+    """For functions that may give other values when they run again (clocks, outside state): the array is written once, and every use reads that."""
+
+    @functools.wraps(operator)
+    def run(*args, **kw) -> GridArray:
+        x = operator(*args, **kw)
+        return GridArray(kept(x.frame()), x.shape, x.dtype, "v", x.sparse)
+
+    return run

@@ -106,9 +106,9 @@ def _running(df: DataFrame, lanes: list[str], pos: str, length: int, agg, combin
 
 
 def scan(x, reduce_fn=np.sum, scan_fn=np.cumsum, axis=None) -> GridArray:
-    """Running sums, products, maxima or minima along an axis; with axis None in C order, in the same shape."""
+    """Running sums, products, maxima or minima along an axis; with axis None in C order, in the same shape. Any other associative function: scan_fn=(aggregate of a column's name, function of two Columns)."""
     x = as_array(x).dense()
-    agg, combine = _SCANS[_NAMES.get(scan_fn, scan_fn)]
+    agg, combine = scan_fn if isinstance(scan_fn, tuple) else _SCANS[_NAMES.get(scan_fn, scan_fn)]
     dtype = x.dtype if x.floating else "int64"
     kind = "double" if x.floating else "long"
     rows = x.frame().withColumn("v", F.col("v").cast(kind))

@@ -32,10 +32,12 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session, or, only where that is unset (tests, one machine), a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir of the session, or, only where that is unset and all of Spark runs on this machine, a temporary one."""
     set_for_all = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if set_for_all:
         return set_for_all.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     own = spark.conf.get("gridloom.shared.dir", None)
     if not own:
         own = tempfile.mkdtemp(prefix="gridloom-")
@@ -43,8 +45,18 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/gridloom-{spark.sparkContext.applicationId}"
+
+
 def kept(df: DataFrame, name: str = "kept") -> DataFrame:
     """Written to the shared folder and read back: iterations go on from files, so that plans stay short and a lost executor costs a read."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(spark: SparkSession) -> None:
+    """Delete all tables that this application has kept, once no result that reads them is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

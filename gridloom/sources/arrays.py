@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..array import SPARK_TYPES, GridArray, as_array, coords, dtype_name, session, unravelled
+from ..session import shared_dir
 
 
 def from_numpy(x: np.ndarray, spark: SparkSession | None = None, tile_hint=None) -> GridArray:
@@ -67,14 +68,18 @@ def from_file_parallel(path: str, file_format: str = "mm", sparse: bool = True,
     head = lines.limit(1).first()
     kinds = (head.line.lower().split() if head and head.line.startswith("%%") else [])[2:]
     kind, symmetry = (kinds + ["coordinate", "real", "general"])[1:3] if kinds else ("real", "general")
-    own = lines.where((F.length("line") > 0) & ~F.startswith("line", F.lit("%"))).select(F.split("line", r"\s+").alias("p"))
-    size = lines.where((F.length("line") > 0) & ~F.startswith("line", F.lit("%"))).limit(1).first().line.split()
+    lines = lines.where((F.length("line") > 0) & ~F.startswith("line", F.lit("%")))
+    size_line = lines.limit(1).first().line
+    size = size_line.split()
     n, m = int(size[0]), int(size[1])
-    # the size line is the only one whose numbers are the shape and the count: left out once, as one row of the sums below
+    # the size line is left out by its text; entries that are written like it count, all but that one
+    alike = 0 if kind == "pattern" else lines.where(F.col("line") == size_line).count() - 1
+    own = lines.where(F.col("line") != size_line).select(F.split("line", r"\s+").alias("p"))
     value = F.lit(1.0) if kind == "pattern" else F.element_at("p", 3).cast("double")
-    cells = own.select((F.element_at("p", 1).cast("long") - 1).alias("i0"), (F.element_at("p", 2).cast("long") - 1).alias("i1"), value.alias("v"), F.lit(1).alias("k"))
-    away = spark.createDataFrame([(n - 1, m - 1, -(1.0 if kind == "pattern" else float(size[2])), -1)], "i0 long, i1 long, v double, k int")
-    cells = cells.unionByName(away).groupBy("i0", "i1").agg(F.sum("v").alias("v"), F.sum("k").alias("k")).where("k > 0").drop("k")
+    cells = own.select((F.element_at("p", 1).cast("long") - 1).alias("i0"), (F.element_at("p", 2).cast("long") - 1).alias("i1"), value.alias("v"))
+    if alike:
+        cells = cells.unionByName(spark.createDataFrame([(n - 1, m - 1, float(size[2]) * alike)], "i0 long, i1 long, v double"))
+    cells = cells.groupBy("i0", "i1").agg(F.sum("v").alias("v"))
     if symmetry in ("symmetric", "skew-symmetric"):
         mirror = cells.where("i0 <> i1").select(F.col("i1").alias("i0"), F.col("i0").alias("i1"), (F.col("v") * (-1 if symmetry.startswith("skew") else 1)).alias("v"))
         cells = cells.unionByName(mirror)
@@ -168,7 +173,5 @@ def checkpoint(x: GridArray, mode: str = "disk") -> GridArray:
         return GridArray(x.frame().persist(StorageLevel.MEMORY_AND_DISK_2), x.shape, x.dtype, "v", x.sparse)
     sc = x.spark.sparkContext
     if sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(x.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridloom-ck-"))
+        sc.setCheckpointDir(shared_dir(x.spark))
     return GridArray(x.frame().checkpoint(), x.shape, x.dtype, "v", x.sparse)

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import gridloom as gl
 from gridloom.array import GridArray, NotShapeable, as_array, from_table
 from gridloom.operators import creation, elementwise, image, indexing, kernels, linalg, reduction, sorting
 from gridloom.plans import planner
@@ -204,6 +205,10 @@ def test_files(g, spark, tmp_path):
     same(arrays.load("x", path), A)
     box = np.fromfunction(lambda i, j: (i < 2) & (j >= 1) & (j < 3), A.shape)
     same(arrays.partial_load([((0, 2), (1, 3))], "x", path), np.where(box, A, 0))
+    big = "%%MatrixMarket matrix coordinate real general\n4 5 3\n4 5 3\n4 5 0.1\n1 1 1e-17\n"
+    (tmp_path / "n.mtx").write_text(big)
+    got = {(r.i0, r.i1): r.v for r in arrays.from_file_parallel(str(tmp_path / "n.mtx"), "mm").df.collect()}
+    assert got == {(3, 4): 3.1, (0, 0): 1e-17}  # an entry written like the size line counts
     (tmp_path / "m.mtx").write_text("%%MatrixMarket matrix coordinate real general\n% c\n4 5 4\n1 1 2.5\n4 5 1\n1 1 1\n2 3 -1\n")
     m = np.zeros((4, 5))
     m[0, 0], m[3, 4], m[1, 2] = 3.5, 1, -1
@@ -236,3 +241,21 @@ def test_plans(spark, g):
     x = from_table(t, ["o_orderkey"], "o_totalprice", shape=(1500,))
     plan = ((x * 2 + 1) / (x + 3))[10:20].frame()._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Exchange" not in plan and "PushedFilters: [IsNotNull(o_orderkey), GreaterThanOrEqual(o_orderkey,10)" in plan and "ReadSchema: struct<o_orderkey:bigint,o_totalprice:double>" in plan
+
+
+def test_combining_writes_custom_scans_and_single_runs(spark):
+    place = gl.ndarray((4,), np.float64, reduce_fn=lambda a, b: a + b)
+    once = gl.write(place, slice(0, 3), np.ones(3))
+    same(gl.write(once, slice(1, 4), np.full(3, 2.0)), np.array([1.0, 3.0, 3.0, 2.0]))
+    bits = np.array([1, 2, 4, 1, 8])
+    same(gl.scan(gl.from_numpy(bits), scan_fn=(F.bit_or, lambda a, b: a.bitwiseOR(b))), np.bitwise_or.accumulate(bits))
+    runs = []
+
+    @gl.not_idempotent
+    def noisy():
+        runs.append(1)
+        return gl.map([gl.from_numpy(np.arange(5.0))], lambda v: v + F.rand())
+
+    x = noisy()
+    same(x, x.glom())
+    assert len(runs) == 1
