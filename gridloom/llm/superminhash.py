@@ -47,6 +47,8 @@ ELEMENTS = 1 << 16
 #: Ids up to this number are broadcast (16 MB) to fetch their documents; more are joined.
 BROADCAST_IDS = 1 << 20
 PAIR_BLOCK = 1024
+#: Up to so many edges (1 MB), one task ends the union-find of components; more of them go through another round of joins.
+LAST_EDGES = 1 << 16
 #: Candidates that chains of shared bands connect are compared as one group up to this size, band by band beyond.
 LARGE_GROUP = 1 << 14
 
@@ -272,20 +274,40 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "set_a", "set_b").mapInArrow(lambda it: _verify(it, percent), "a long, b long")
 
 
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of all edges (a, b) of a partition."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            low, high = sorted((find(root.setdefault(a, a)), find(root.setdefault(b, b))))
+            root[high] = low
+    yield pa.RecordBatch.from_arrays([pa.array([*root], pa.int64()), pa.array([find(x) for x in root], pa.int64())], names=["node", "root"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b), root the least node of its component.
 
     Each round points every node at its least neighbour if that is smaller, jumps
     pointers until they are roots, and goes on with the edges between roots, whose
-    number of nodes at least halves. All of it is joins and aggregations; the
-    driver only sees counts.
+    number of nodes at least halves. All of it is joins and aggregations, but for
+    the last LAST_EDGES edges, which one task unites; the driver only sees counts.
     """
     edges = common.cut(edges.where("a <> b").distinct(), "edges")
     labels: DataFrame | None = None
-    while not edges.isEmpty():
-        both = edges.select(F.col("a").alias("node"), F.col("b").alias("next")).union(edges.select("b", "a"))
-        parent = common.cut(both.groupBy("node").agg(F.min("next").alias("next")).select("node", F.least("node", "next").alias("root")), "parent")
-        while True:
+    while n := edges.count():
+        last = n <= LAST_EDGES
+        if last:
+            parent = common.cut(edges.coalesce(1).mapInArrow(_united, "node long, root long"), "parent")
+        else:
+            both = edges.select(F.col("a").alias("node"), F.col("b").alias("next")).union(edges.select("b", "a"))
+            parent = common.cut(both.groupBy("node").agg(F.min("next").alias("next")).select("node", F.least("node", "next").alias("root")), "parent")
+        while not last:
             up = parent.select(F.col("node").alias("root"), F.col("root").alias("above"))
             jumped = common.cut(parent.join(up, "root").select("node", F.col("above").alias("root"), (F.col("above") != F.col("root")).alias("moved")), "parent")
             parent = jumped.select("node", "root")
@@ -296,6 +318,8 @@ def components(edges: DataFrame) -> DataFrame:
         else:
             step = parent.select(F.col("node").alias("root"), F.col("root").alias("above"))
             labels = common.cut(labels.join(step, "root", "left").select("node", F.coalesce("above", "root").alias("root")), "labels")
+        if last:
+            break
         x = parent.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         y = parent.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         edges = common.cut(edges.join(x, "a").join(y, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
@@ -345,7 +369,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     left = left.select("g", "rep", "comp", "sig", "n_shingles", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     floor = int(SURELY_LESS * percent / 100 * SLOTS)
-    deal = lambda df: df.repartition(common.parallelism(docs.sparkSession), "g", "i", "j").sortWithinPartitions("g", "i", "j")
+    deal = lambda df: df.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
     on = common.cut(deal(left).mapInArrow(lambda it: _going_on(it, percent, floor), left.schema), "going")
     links = common.cut(deal(on.join(sets, "rep")).mapInArrow(lambda it: _block_links(it, percent, floor), "a long, b long"), "links")
     to_comp = first.select(F.col("node").alias("a"), F.col("root").alias("ra"))

@@ -43,9 +43,31 @@ def test_links_at_the_threshold(spark):
     assert got == len(rows) // 2
 
 
-def test_threshold_chains_and_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("last", [0, 40, 1 << 16])
+def test_components(spark, monkeypatch, last):
+    """Rounds of joins, one task, and both in turn."""
+    import random
+
+    monkeypatch.setattr(superminhash, "LAST_EDGES", last)
+    r = random.Random(3)
+    chain = [*range(200, 260)]
+    r.shuffle(chain)
+    edges = [(r.randrange(150), r.randrange(150)) for _ in range(90)] + [*zip(chain, chain[1:])] + [(7, 7)]
+    root = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in root:
+        for a, b in edges:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    got = superminhash.components(spark.createDataFrame(edges, "a long, b long"))
+    assert sorted(map(tuple, got.collect())) == sorted(root.items())
+    assert superminhash.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("last", [0, 1 << 16])
+def test_threshold_chains_and_blocks(spark, monkeypatch, last):
     """Chains of links around 0.8, in groups larger than a block."""
     monkeypatch.setattr(superminhash, "PAIR_BLOCK", 8)
+    monkeypatch.setattr(superminhash, "LAST_EDGES", last)
     import random
 
     r, rows = random.Random(5), []
