@@ -277,7 +277,13 @@ _images = lambda s, d: _e(s, d).reshape(-1, 1, 8, 8)
 _FILTER = np.arange(1.0, 19.0).reshape(2, 1, 3, 3)
 add("stencil", lambda s, d: _unsigned(image.stencil(_images(s, d), _FILTER), 4), f"WITH {_IM}, f AS (SELECT x // 9 AS f, x % 9 // 3 AS dx, x % 3 AS dy, x + 1 AS w FROM range(18) t(x)) SELECT i0, f AS i1, i2 - dx AS i2, i3 - dy AS i3, round(sum(v * w), 4) + 0.0 AS v FROM M, f WHERE i2 >= dx AND i3 >= dy GROUP BY ALL")
 add("maxpool", lambda s, d: image.maxpool(_images(s, d)), f"WITH {_IM} SELECT i0, i1, i2 // 2 AS i2, i3 // 2 AS i3, max(v) AS v FROM M GROUP BY ALL")
-add("convnet", lambda s, d: image.convnet(_images(s, d), [_FILTER, np.ones((1, 2, 2, 2))]))
+add(
+    "convnet",
+    lambda s, d: _unsigned(image.convnet(_images(s, d), [_FILTER, np.ones((1, 2, 2, 2))]), 4),
+    f"""WITH {_IM}, f AS (SELECT x // 9 AS f, x % 9 // 3 AS dx, x % 3 AS dy, x + 1 AS w FROM range(18) t(x)), g AS (SELECT x // 2 AS dx, x % 2 AS dy FROM range(4) t(x)),
+a AS (SELECT i0, f AS i1, i2 - dx AS i2, i3 - dy AS i3, sum(v * w) AS v FROM M, f WHERE i2 >= dx AND i3 >= dy GROUP BY ALL), b AS (SELECT i0, i1, i2 // 2 AS i2, i3 // 2 AS i3, max(v) AS v FROM a GROUP BY ALL),
+c AS (SELECT i0, i2 - dx AS i2, i3 - dy AS i3, sum(v) AS v FROM b, g WHERE i2 >= dx AND i3 >= dy GROUP BY ALL) SELECT i0, 0::BIGINT AS i1, i2 // 2 AS i2, i3 // 2 AS i3, round(max(v), 4) + 0.0 AS v FROM c GROUP BY ALL""",
+)
 
 # storage
 
@@ -367,7 +373,17 @@ c{n + 1} AS (SELECT c.k, c.i1, coalesce(n.v, c.v) AS v FROM c{n} c LEFT JOIN n{n
 for rounds in (1, 5):
     add(f"kmeans_{rounds}", lambda s, d, n=rounds: _center_frame(s, clustering.kmeans(_rows(s, d), _first(s, d), n)), _kmeans_sql(rounds), 5)
 add("kmeans_assign", lambda s, d: clustering.assign(_rows(s, d), _first(s, d)).select("i0", F.col("label").alias("v")), f"WITH {E}, s AS (SELECT a.i0, b.i0 AS k, sum((a.v - b.v) * (a.v - b.v)) AS x FROM E a JOIN E b ON a.i1 = b.i1 AND b.i0 < 5 GROUP BY ALL) SELECT i0, k AS v FROM s QUALIFY row_number() OVER (PARTITION BY i0 ORDER BY x, k) = 1")
-add("fuzzy_kmeans", lambda s, d: _center_frame(s, clustering.fuzzy_kmeans(_rows(s, d), _first(s, d), 3)), None, 5)
+
+def _fuzzy_sql(rounds: int) -> str:
+    out = f"WITH {E}, c0 AS (SELECT i0 AS k, i1, v FROM E WHERE i0 < 5)"
+    for n in range(rounds):
+        out += f""", d{n} AS (SELECT E.i0, k, 1 / greatest(sum((E.v - c.v) * (E.v - c.v)), 1e-300) AS w FROM E JOIN c{n} c ON c.i1 = E.i1 GROUP BY ALL),
+m{n} AS (SELECT i0, k, pow(w / sum(w) OVER (PARTITION BY i0), 2) AS w FROM d{n}),
+c{n + 1} AS (SELECT k, i1, sum(w * v) / sum(w) AS v FROM E JOIN m{n} USING (i0) GROUP BY ALL)"""
+    return out + f" SELECT k AS i0, i1, round(v, 5) AS v FROM c{rounds}"
+
+
+add("fuzzy_kmeans", lambda s, d: _center_frame(s, clustering.fuzzy_kmeans(_rows(s, d), _first(s, d), 3)), _fuzzy_sql(3), 5)
 add("canopies", lambda s, d: _center_frame(s, clustering.canopies(_rows(s, d), 12.0, 10.0)), None, 5)
 add("streaming_kmeans", lambda s, d: _center_frame(s, clustering.streaming_kmeans(_rows(s, d), 10)), None, 5)
 add("spectral_clustering", lambda s, d: clustering.spectral(_rows(s, d), _e(s, d).shape[0], 5, gamma=0.05))
@@ -406,16 +422,16 @@ def _named(s, names, values):
 _lines = lambda s, d: table(s, d, "lineitem").select(F.array(F.col("l_quantity") / 50, F.col("l_discount") * 10).alias("x"), (F.col("l_extendedprice") / 1e5).alias("y"))
 
 
-def _gd_sql(rounds: int) -> str:
+def _gd_sql(rounds: int, model: str = "a * p + b * q", y: str = "y", penalty: float = 0.0) -> str:
     out = "WITH t AS (SELECT l_quantity / 50 AS a, l_discount * 10 AS b, l_extendedprice / 1e5 AS y FROM lineitem), w0 AS (SELECT 0::DOUBLE AS p, 0::DOUBLE AS q)"
     for n in range(rounds):
-        out += f", w{n + 1} AS (SELECT any_value(p) - 1e-6 * sum(a * (a * p + b * q - y)) AS p, any_value(q) - 1e-6 * sum(b * (a * p + b * q - y)) AS q FROM t, w{n})"
+        out += f", w{n + 1} AS (SELECT any_value(p) - 1e-6 * (sum(a * ({model} - {y})) + {penalty} * any_value(p)) AS p, any_value(q) - 1e-6 * (sum(b * ({model} - {y})) + {penalty} * any_value(q)) AS q FROM t, w{n})"
     return out + f" SELECT 'quantity' AS name, round(p, 9) AS v FROM w{rounds} UNION ALL SELECT 'discount', round(q, 9) FROM w{rounds}"
 
 
 add("linear_regression_gd", lambda s, d: _named(s, ["quantity", "discount"], learning.linear_regression(_lines(s, d), 2, 1e-6, 5)), _gd_sql(5), 9)
-add("logistic_regression_gd", lambda s, d: _named(s, ["quantity", "discount"], learning.logistic_regression(_lines(s, d).withColumn("y", (F.col("y") > 0.4).cast("double")), 2, 1e-6, 5)), None, 9)
-add("ridge_regression_gd", lambda s, d: _named(s, ["quantity", "discount"], learning.ridge_regression(_lines(s, d), 2, 10.0, 1e-6, 5)), None, 9)
+add("logistic_regression_gd", lambda s, d: _named(s, ["quantity", "discount"], learning.logistic_regression(_lines(s, d).withColumn("y", (F.col("y") > 0.4).cast("double")), 2, 1e-6, 5)), _gd_sql(5, "1 / (1 + exp(-(a * p + b * q)))", "(y > 0.4)::INTEGER"), 9)
+add("ridge_regression_gd", lambda s, d: _named(s, ["quantity", "discount"], learning.ridge_regression(_lines(s, d), 2, 10.0, 1e-6, 5)), _gd_sql(5, penalty=10.0), 9)
 add("least_squares", lambda s, d: _named(s, ["slope", "intercept"], (lambda r: (r[0][0], r[1]))(learning.least_squares(table(s, d, "lineitem").select(F.array("l_quantity").alias("x"), F.col("l_extendedprice").alias("y")), 1))), "SELECT 'slope' AS name, round(regr_slope(l_extendedprice, l_quantity), 4) AS v FROM lineitem UNION ALL SELECT 'intercept', round(regr_intercept(l_extendedprice, l_quantity), 4) FROM lineitem", 4)
 _signed = lambda s, d: table(s, d, "embeddings").select(F.col("vec_id").alias("i0"), F.transform("embedding", lambda x: x.cast("double")).alias("x"), F.when(F.col("label") < 5, 1).otherwise(-1).alias("y"))
 add("svm", lambda s, d: _named(s, [f"w{k}" for k in range(64)], learning.svm_dual(_signed(s, d), 64, rounds=3)))
@@ -432,10 +448,37 @@ def _features(s, d):
 add("pca", lambda s, d: _named(s, [f"v{k}" for k in range(5)], decomposition.pca(_rows(s, d), 64, 5)[2]), None, 6)
 add("svd", lambda s, d: _named(s, [f"s{k}" for k in range(3)], decomposition.svds(_e(s, d), 3)[1]), None, 6)
 add("ssvd", lambda s, d: _named(s, [f"s{k}" for k in range(3)], decomposition.ssvd(_rows(s, d), 64, 3)[0]), None, 3)
-add("qr", lambda s, d: _center_frame(s, decomposition.qr(_rows(s, d), 64)[1]), None, 6)
-add("cholesky", lambda s, d: decomposition.cholesky(linalg.dot(_e(s, d).T, _e(s, d)) + creation.eye(64, dtype="float64"), 32), None, 6)
-add("jacobi", lambda s, d: _named(s, [f"x{k}" for k in range(64)], decomposition.jacobi(linalg.dot(_e(s, d).T, _e(s, d)) / 1e6 + creation.eye(64, dtype="float64") * 10.0, np.arange(64.0), 5)), None, 6)
-add("conjugate_gradient", lambda s, d: _named(s, [f"x{k}" for k in range(64)], decomposition.conjugate_gradient(linalg.dot(_e(s, d).T, _e(s, d)) / 1e3 + creation.eye(64, dtype="float64"), np.arange(64.0), 5)), None, 6)
+
+
+def _gram_sql(value: str) -> str:
+    return f"{E}, g AS (SELECT a.i1 AS i, b.i1 AS j, sum(a.v * b.v) AS v FROM E a JOIN E b USING (i0) GROUP BY ALL), A AS MATERIALIZED (SELECT i, j, {value} AS v FROM g)"
+
+
+#: Rows (i, j, v) of the lower factor l of A, a column for each step of the recursion.
+_FACTOR = """, S(k, i, j, v) AS (SELECT 0::BIGINT, i, j, v FROM A WHERE i >= j UNION ALL
+SELECT s.k + 1, s.i, s.j, s.v - a.v * b.v / d.v FROM S s JOIN S a ON a.i = s.i AND a.j = s.k JOIN S b ON b.i = s.j AND b.j = s.k JOIN S d ON d.i = s.k AND d.j = s.k WHERE s.j > s.k),
+l AS (SELECT s.i, s.j, s.v / sqrt(d.v) AS v FROM S s JOIN S d ON d.k = s.j AND d.i = s.j AND d.j = s.j WHERE s.k = s.j)"""
+
+
+def _jacobi_sql(rounds: int) -> str:
+    out = f"WITH {_gram_sql('v / 1e6 + CASE WHEN i = j THEN 10 ELSE 0 END')}, x0 AS (SELECT DISTINCT i, 0::DOUBLE AS v FROM A)"
+    for n in range(rounds):
+        out += f", x{n + 1} AS MATERIALIZED (SELECT A.i, (A.i - sum(CASE WHEN A.i <> A.j THEN A.v * x.v ELSE 0 END)) / max(CASE WHEN A.i = A.j THEN A.v END) AS v FROM A JOIN x{n} x ON x.i = A.j GROUP BY A.i)"
+    return out + f" SELECT 'x' || i AS name, round(v, 6) AS v FROM x{rounds}"
+
+
+def _cg_sql(rounds: int) -> str:
+    out = f"WITH {_gram_sql('v / 1e3 + CASE WHEN i = j THEN 1 ELSE 0 END')}, s0 AS (SELECT DISTINCT i, 0::DOUBLE AS x, i::DOUBLE AS r, i::DOUBLE AS p FROM A)"
+    for n in range(rounds):
+        out += f""", q{n} AS MATERIALIZED (SELECT A.i, sum(A.v * s.p) AS q FROM A JOIN s{n} s ON s.i = A.j GROUP BY A.i), k{n} AS MATERIALIZED (SELECT sum(r * r) AS rr, CASE WHEN sum(r * r) > 1e-10 THEN sum(r * r) / sum(p * q) ELSE 0 END AS step FROM s{n} JOIN q{n} USING (i)),
+t{n} AS MATERIALIZED (SELECT i, x + step * p AS x, r - step * q AS r, p FROM s{n} JOIN q{n} USING (i) CROSS JOIN k{n}), s{n + 1} AS MATERIALIZED (SELECT i, x, r, r + (SELECT sum(r * r) FROM t{n}) / (SELECT rr FROM k{n}) * p AS p FROM t{n})"""
+    return out + f" SELECT 'x' || i AS name, round(x, 6) AS v FROM s{rounds}"
+
+
+add("qr", lambda s, d: _center_frame(s, decomposition.qr(_rows(s, d), 64)[1] + 0.0), f"WITH RECURSIVE {_gram_sql('v')}{_FACTOR} SELECT A.j AS i0, A.i AS i1, round(coalesce(l.v, 0), 6) + 0.0 AS v FROM A LEFT JOIN l USING (i, j)", 6)
+add("cholesky", lambda s, d: decomposition.cholesky(linalg.dot(_e(s, d).T, _e(s, d)) + creation.eye(64, dtype="float64"), 32), f"WITH RECURSIVE {_gram_sql('v + CASE WHEN i = j THEN 1 ELSE 0 END')}{_FACTOR} SELECT i AS i0, j AS i1, round(v, 6) AS v FROM l", 6)
+add("jacobi", lambda s, d: _named(s, [f"x{k}" for k in range(64)], decomposition.jacobi(linalg.dot(_e(s, d).T, _e(s, d)) / 1e6 + creation.eye(64, dtype="float64") * 10.0, np.arange(64.0), 5)), _jacobi_sql(5), 6)
+add("conjugate_gradient", lambda s, d: _named(s, [f"x{k}" for k in range(64)], decomposition.conjugate_gradient(linalg.dot(_e(s, d).T, _e(s, d)) / 1e3 + creation.eye(64, dtype="float64"), np.arange(64.0), 5)), _cg_sql(5), 6)
 
 
 def _sides(users: DataFrame, items: DataFrame) -> DataFrame:
@@ -454,7 +497,17 @@ add("als_implicit", lambda s, d: _als(s, d, True))
 add("sgd_factors", lambda s, d: _sides(*learning.sgd_factors(_parts(s, d).withColumn("v", F.col("v") / 50), 5, epochs=1, parts=2)))
 add("lda", lambda s, d: _topics(s, d), None, 12)  # shares of rare terms are far below 1e-6
 add("isomap", lambda s, d: _center_frame(s, simulation.isomap(_rows(s, d), _e(s, d).shape[0], 6, 2)), None, 5)
-add("nbody", lambda s, d: simulation.nbody(table(s, d, "supplier").select(F.col("s_suppkey").alias("i0"), (F.abs("s_acctbal") / 1e4).alias("m"), *[(F.pmod(F.col("s_suppkey") * p, F.lit(101)) / 10.0).alias(c) for c, p in zip("xyz", (7, 13, 29))], *[F.lit(0.0).alias(f"v{c}") for c in "xyz"]), 1))
+
+
+def _rounded(df: DataFrame, digits: int) -> DataFrame:
+    return df.select(*[F.round(n, digits).alias(n) if kind == "double" else n for n, kind in df.dtypes])
+
+
+_NBODY = """WITH b AS (SELECT s_suppkey::BIGINT AS i0, abs(s_acctbal) / 1e4 AS m, s_suppkey * 7 % 101 / 10.0 AS x, s_suppkey * 13 % 101 / 10.0 AS y, s_suppkey * 29 % 101 / 10.0 AS z FROM supplier),
+p AS (SELECT a.i0, b.m, b.x - a.x AS dx, b.y - a.y AS dy, b.z - a.z AS dz FROM b a JOIN b ON a.i0 <> b.i0), q AS (SELECT *, m / pow(dx * dx + dy * dy + dz * dz + 1e-3, 1.5) AS f FROM p),
+f AS (SELECT i0, 0.01 * sum(dx * f) AS vx, 0.01 * sum(dy * f) AS vy, 0.01 * sum(dz * f) AS vz FROM q GROUP BY i0)
+SELECT i0, round(m, 9) AS m, round(x + 0.01 * vx, 9) AS x, round(y + 0.01 * vy, 9) AS y, round(z + 0.01 * vz, 9) AS z, round(vx, 9) AS vx, round(vy, 9) AS vy, round(vz, 9) AS vz FROM b JOIN f USING (i0)"""
+add("nbody", lambda s, d: _rounded(simulation.nbody(table(s, d, "supplier").select(F.col("s_suppkey").alias("i0"), (F.abs("s_acctbal") / 1e4).alias("m"), *[(F.pmod(F.col("s_suppkey") * p, F.lit(101)) / 10.0).alias(c) for c, p in zip("xyz", (7, 13, 29))], *[F.lit(0.0).alias(f"v{c}") for c in "xyz"]), 1), 9), _NBODY)
 add("swaption", lambda s, d: _named(s, ["price", "error"], simulation.swaption(s, 20000, [0.05] * 8, 0.05, 0.2, start=4)))
 add("stream_running_totals", lambda s, d: streaming.totals_so_far(s, table(s, d, "events").schema, f"{d}/events.parquet"), "SELECT event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total, min(value) AS least, max(value) AS most FROM events GROUP BY event_type")
 
