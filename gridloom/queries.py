@@ -235,8 +235,7 @@ add("dot_sparse_vector", lambda s, d: linalg.dot(_l(s, d), from_table(table(s, d
 add("dot_sparse_sparse", lambda s, d: linalg.dot(_u(s, d).T, _u(s, d)), f"WITH {U} SELECT a.i1 AS i0, b.i1, sum(a.v * b.v)::BIGINT AS v FROM U a JOIN U b USING (i0) GROUP BY a.i1, b.i1")
 add("dot_local", lambda s, d: linalg.dot(_e(s, d), np.arange(64.0)), f"WITH {E} SELECT i0, round(sum(v * i1), 4) AS v FROM E GROUP BY i0", 4)
 add("dot_block", lambda s, d: linalg._block_dot(_e(s, d).T, _e(s, d), "float64", 128), f"WITH {E} SELECT a.i1 AS i0, b.i1, round(sum(a.v * b.v), 5) AS v FROM E a JOIN E b USING (i0) GROUP BY a.i1, b.i1", 5)
-add("outer_distances", lambda s, d: linalg.outer(_e(s, d)[:60], _e(s, d), lambda a, b: (a - b) * (a - b)), f"WITH {E} SELECT a.i0, b.i0 AS i1, round(sum((a.v - b.v) * (a.v - b.v)), 5) AS v FROM E a JOIN E b ON a.i1 = b.i1 AND a.i0 < 60 GROUP BY a.i0, b.i0", 5)
-add("outer_distances_all", lambda s, d: linalg.outer(_e(s, d), _e(s, d), lambda a, b: (a - b) * (a - b)), None, 5)
+add("outer_distances", lambda s, d: linalg.outer(_e(s, d), _e(s, d), lambda a, b: (a - b) * (a - b)), f"WITH {E} SELECT a.i0, b.i0 AS i1, round(sum((a.v - b.v) * (a.v - b.v)), 5) AS v FROM E a JOIN E b ON a.i1 = b.i1 GROUP BY a.i0, b.i0", 5)
 add("map2_join", lambda s, d: kernels.map2([_e(s, d), _e(s, d)], (0, 0), lambda a, va, b, vb: ([a[1], b[1]], va * vb), (64, 64)), f"WITH {E} SELECT a.i1 AS i0, b.i1, round(sum(a.v * b.v), 5) AS v FROM E a JOIN E b USING (i0) GROUP BY a.i1, b.i1", 5)
 add("shuffle_scatter", lambda s, d: kernels.shuffle(_o(s, d), lambda i, v: ([i % 100], v), (100,)), f"WITH {O} SELECT i0 % 100 AS i0, round(sum(v), 3) AS v FROM O GROUP BY i0 % 100", 3)
 add("shuffle_by_label", lambda s, d: _label_sums(s, d), "SELECT label::BIGINT AS i0, x::BIGINT AS i1, round(sum(embedding[x + 1]::DOUBLE), 5) AS v FROM embeddings, range(64) t(x) GROUP BY ALL", 5)
@@ -342,12 +341,10 @@ add(
     lambda s, d: (lambda m, c: learning.naive_bayes_predict(m, c.drop("label")))(*_bayes(s, d)),
     f"WITH {_MODEL}, p AS (SELECT doc, m.label, round(sum(n * weight), 9) AS s FROM c JOIN m USING (term) GROUP BY ALL) SELECT doc, label FROM p QUALIFY row_number() OVER (PARTITION BY doc ORDER BY s DESC, label) = 1",
 )
-_ratings = lambda s, d: table(s, d, "lineitem").select(F.col("l_suppkey").alias("user"), F.pmod("l_partkey", F.lit(200)).alias("item"), F.col("l_quantity").alias("v"))
-_SIM = """r AS (SELECT l_suppkey AS u, l_partkey % 200 AS item, sum(l_quantity) AS v FROM lineitem GROUP BY ALL), nr AS (SELECT item, sqrt(sum(v * v)) AS r FROM r GROUP BY item),
-x AS (SELECT u, item, v / nr.r AS v FROM r JOIN nr USING (item)), s AS (SELECT a.item, b.item AS other, sum(a.v * b.v) AS s FROM x a JOIN x b USING (u) GROUP BY ALL)"""
-add("item_similarity", lambda s, d: learning.item_similarity(_ratings(s, d), 5).select("item", "rank", "other", F.round("similarity", 6).alias("v")), f"WITH {_SIM} SELECT item, row_number() OVER (PARTITION BY item ORDER BY round(s, 9) DESC, other)::INTEGER AS rank, other, round(s, 6) AS v FROM s QUALIFY row_number() OVER (PARTITION BY item ORDER BY round(s, 9) DESC, other) <= 5")
 _parts = lambda s, d: table(s, d, "lineitem").select(F.col("l_suppkey").alias("user"), F.col("l_partkey").alias("item"), F.col("l_quantity").alias("v"))
-add("item_similarity_parts", lambda s, d: learning.item_similarity(_parts(s, d), 5).select("item", "rank", "other", F.round("similarity", 6).alias("v")))
+_SIM = """r AS (SELECT l_suppkey AS u, l_partkey AS item, sum(l_quantity) AS v FROM lineitem GROUP BY ALL), nr AS (SELECT item, sqrt(sum(v * v)) AS r FROM r GROUP BY item),
+x AS (SELECT u, item, v / nr.r AS v FROM r JOIN nr USING (item)), s AS (SELECT a.item, b.item AS other, sum(a.v * b.v) AS s FROM x a JOIN x b USING (u) GROUP BY ALL)"""
+add("item_similarity", lambda s, d: learning.item_similarity(_parts(s, d), 5).select("item", "rank", "other", F.round("similarity", 6).alias("v")), f"WITH {_SIM} SELECT item, row_number() OVER (PARTITION BY item ORDER BY round(s, 9) DESC, other)::INTEGER AS rank, other, round(s, 6) AS v FROM s QUALIFY row_number() OVER (PARTITION BY item ORDER BY round(s, 9) DESC, other) <= 5")
 add("knn", lambda s, d: learning.knn(_rows(s, d), _rows(s, d).where("i0 % 100 = 0"), 10).select("query", "rank", "i0", F.round("distance", 6).alias("v")), f"WITH {E}, s AS (SELECT a.i0 AS query, b.i0, sqrt(sum((a.v - b.v) * (a.v - b.v))) AS x FROM E a JOIN E b ON a.i1 = b.i1 AND a.i0 % 100 = 0 GROUP BY a.i0, b.i0) SELECT query, row_number() OVER (PARTITION BY query ORDER BY x, i0)::INTEGER AS rank, i0, round(x, 6) AS v FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY x, i0) <= 10")
 
 

@@ -19,7 +19,7 @@ def squared(x):
 
 
 def test_outer_of_all_rows(spark, vectors):
-    got = queries.QUERIES["outer_distances_all"](spark, DIR).toPandas()
+    got = queries.QUERIES["outer_distances"](spark, DIR).toPandas()
     want = squared(vectors)
     assert len(got) == want.size and np.allclose(want[got.i0, got.i1], got.v, atol=1e-5)
 
@@ -111,7 +111,7 @@ def test_parts_are_not_folded(spark, tmp_path):
     m /= np.linalg.norm(m, axis=1, keepdims=True)
     s = np.round(m @ m.T, 9)
     want = {(items[i], rank + 1): items[j] for i in range(len(items)) for rank, j in enumerate(np.lexsort((items, -s[i]))[: min(5, (s[i] > 0).sum())])}
-    got = queries.QUERIES["item_similarity_parts"](spark, str(tmp_path)).collect()
+    got = queries.QUERIES["item_similarity"](spark, str(tmp_path)).collect()
     assert {(x.item, x["rank"]): x.other for x in got} == want
     sides = queries.QUERIES["als"](spark, str(tmp_path)).toPandas()
     assert sorted(sides[sides.side == "item"].i0) == items
