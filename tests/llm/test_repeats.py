@@ -59,6 +59,18 @@ def test_bytes(spark, hot):
     assert sorted(map(tuple, got.collect()), key=str) == bytes_expected(docs, 400)
 
 
+def test_bytes_beyond_places(spark):
+    """Two overlapping windows that repeat where an anchor's place no longer fits its bits (2^24), in a text where nothing else does; the seed leaves no other run at their anchor."""
+    r = random.Random(2)
+    letters = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    before, period, after = letters(2000), letters(90), letters(2000)
+    fill = "".join(random.Random(3).choices("abcdefghijklmnopqrstuvwxyz", k=(1 << 24) - 2150))
+    text = fill + before + (period * 6)[:490] + after
+    got = suffix_levels.dedup(make(spark, [(1, text), (2, "other")])).drop("spans", "kept_bytes").orderBy("doc_id").collect()
+    kept = hashlib.sha256((fill + before + after).encode()).hexdigest()
+    assert list(map(tuple, got)) == [(1, len(text), 490, 1, kept), (2, 5, 0, 0, hashlib.sha256(b"other").hexdigest())]
+
+
 def met_expected(passages, length):
     heads = [(k, s, data[s : s + length]) for k, (_, _, _, data) in enumerate(passages) for s in range(len(data) - length + 1)]
     count = Counter(h for _, _, h in heads)
