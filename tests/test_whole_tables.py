@@ -115,3 +115,24 @@ def test_parts_are_not_folded(spark, tmp_path):
     assert {(x.item, x["rank"]): x.other for x in got} == want
     sides = queries.QUERIES["als"](spark, str(tmp_path)).toPandas()
     assert sorted(sides[sides.side == "item"].i0) == items
+
+
+@pytest.mark.parametrize("held, terms", [(1 << 22, 1 << 20), (40, 7)])
+def test_similarity_by_blocks(spark, held, terms, monkeypatch):
+    """No join of pairs, one block or several; ratings below zero and unknown users too."""
+    monkeypatch.setattr(learning, "HELD", held)
+    monkeypatch.setattr(learning, "TERMS", terms)
+    r = np.random.default_rng(9)
+    lines = [(int(u) if u else None, int(p), float(v)) for u, p, v in zip(r.integers(0, 30, 400), r.integers(0, 50, 400), r.integers(-3, 9, 400))]
+    m = np.zeros((50, 30))
+    for u, p, v in lines:
+        m[p, u or 0] += v
+    unit, met = m / np.linalg.norm(m, axis=1, keepdims=True), np.zeros((50, 30), bool)
+    met[[p for _, p, _ in lines], [u or 0 for u, _, _ in lines]] = True
+    s = np.round(unit[:, 1:] @ unit[:, 1:].T, 9)
+    together = (met[:, 1:].astype(int) @ met[:, 1:].T) > 0
+    want = {(i, rank + 1, int(j)): s[i, j] for i in range(50) for rank, j in enumerate([j for j in np.lexsort((np.arange(50), -s[i])) if together[i, j]][:5])}
+    got = learning.item_similarity(spark.createDataFrame(lines, "user long, item long, v double"), 5)
+    assert {(x.item, x["rank"], x.other): x.similarity for x in got.collect()} == pytest.approx(want, abs=1e-8)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert held < 1 << 22 or "Join" not in plan
