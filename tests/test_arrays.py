@@ -259,3 +259,28 @@ def test_combining_writes_custom_scans_and_single_runs(spark):
     x = noisy()
     same(x, x.glom())
     assert len(runs) == 1
+
+
+def test_lag_of_keys_with_gaps(spark):
+    """Elements before one another are neighbours by order, whatever their keys."""
+    from gridloom.algorithms import simulation
+
+    df = spark.createDataFrame([(0, 1.0), (1, 2.0), (5, 4.0), (6, 4.1), (9, 1.0)], "k long, v double")
+    got = simulation.find_change(from_table(df, ["k"], "v"), 0.5).frame().collect()
+    assert sorted((r.i0, round(r.v, 6)) for r in got) == [(0, 1.0), (4, 1.0), (8, round(-3.1 / 4.1, 6))]
+
+
+def test_long_lanes_with_unknown_values(spark, monkeypatch):
+    """Null comes first, as in short lanes."""
+    monkeypatch.setattr(planner, "LANE", 4)
+    df = spark.createDataFrame([(k, None if k % 7 == 0 else float(k * 37 % 11)) for k in range(60)], "k long, v double")
+    got = sorting.argsort(from_table(df, ["k"], "v")).frame().orderBy("i0").collect()
+    assert [r.v for r in got] == sorted(range(60), key=lambda k: (k % 7 != 0, k * 37 % 11 if k % 7 else 0, k))
+
+
+def test_parts_of_bounds(spark):
+    """A row meets 32 bounds at most, and its part is that of all of them."""
+    bounds, values = [float(b) for b in range(0, 510, 2)], [float(v) for v in range(-3, 520)]
+    df = sorting._parted(spark.createDataFrame([(v,) for v in values], "v double"), "v", bounds)
+    got = {r.v: r["__part"] for r in df.collect()}
+    assert got == {v: 2 * sum(b < v for b in bounds) + (v in bounds) for v in values}
