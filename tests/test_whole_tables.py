@@ -136,3 +136,19 @@ def test_similarity_by_blocks(spark, held, terms, monkeypatch):
     assert {(x.item, x["rank"], x.other): x.similarity for x in got.collect()} == pytest.approx(want, abs=1e-8)
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert held < 1 << 22 or "Join" not in plan
+
+
+def test_nearest_in_bounded_parts(spark, monkeypatch):
+    """A task holds few distances at once, and equal ones go by number, over all parts."""
+    monkeypatch.setattr(learning, "CELLS", 40)
+    r = np.random.default_rng(5)
+    x = r.integers(0, 3, (90, 4)).astype(float)
+    best = np.full((8, 0), np.inf), np.zeros((8, 0), np.int64)
+    for low in range(0, 90, 7):
+        best = learning._nearest(best, x[:8], x[low : low + 7], np.arange(low, min(low + 7, 90)), 5)
+    d = squared(x)[:8]
+    want = np.lexsort((np.broadcast_to(np.arange(90), d.shape), d), axis=1)[:, :5]
+    assert (best[1] == want).all() and (best[0] == np.take_along_axis(d, want, 1)).all()
+    rows = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "i0 long, x array<double>")
+    got = learning.knn(rows, rows.where("i0 < 8"), 5, block=12).orderBy("query", "rank").collect()
+    assert [g.i0 for g in got] == want.ravel().tolist()
