@@ -152,3 +152,29 @@ def test_nearest_in_bounded_parts(spark, monkeypatch):
     rows = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "i0 long, x array<double>")
     got = learning.knn(rows, rows.where("i0 < 8"), 5, block=12).orderBy("query", "rank").collect()
     assert [g.i0 for g in got] == want.ravel().tolist()
+
+
+def test_similarity_product_stores_no_pairs(spark, vectors, monkeypatch):
+    """Beyond PACKED numbers too, blocks meet without a join: what is kept are the rows, once."""
+    written, tables = [], clustering.kept
+    monkeypatch.setattr(clustering, "PACKED", 0)
+    monkeypatch.setattr(clustering, "kept", lambda df: written.append(df) or tables(df))
+    product = clustering.similarity_product(queries._rows(spark, DIR), len(vectors), size=64)
+    product(np.ones(len(vectors)))
+    assert len(written) == 1 and "Join" not in written[0]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_outer_by_blocks(spark, vectors):
+    """Whole rows meet, not elements: no join on the shared axis; rows that miss elements sum over those they share."""
+    from gridloom.array import from_table
+    from gridloom.operators import linalg
+
+    cells = [(i, k, float(i * 7 % 5 + k)) for i in range(9) for k in range(4) if (i, k) != (3, 2)]
+    x = from_table(spark.createDataFrame(cells, "i long, k long, v double"), ["i", "k"], "v")
+    by = {(i, k): v for i, k, v in cells}
+    out = linalg.outer(x, x, lambda a, b: abs(a - b), vectorized=True)
+    want = {(i, j): sum(abs(by[i, k] - by[j, k]) for k in range(4) if (i, k) in by and (j, k) in by) for i in range(9) for j in range(9)}
+    assert {(r.i0, r.i1): r.v for r in out.frame().collect()} == want
+    assert "HashJoin" not in out.df._jdf.queryExecution().executedPlan().toString()
+    u = linalg.outer(x[:, 0], x[:, 0], lambda a, b: a * b, vectorized=True).glom()
+    assert np.allclose(u, np.outer([by[i, 0] for i in range(9)], [by[i, 0] for i in range(9)]))
