@@ -178,3 +178,24 @@ def test_outer_by_blocks(spark, vectors):
     assert "HashJoin" not in out.df._jdf.queryExecution().executedPlan().toString()
     u = linalg.outer(x[:, 0], x[:, 0], lambda a, b: a * b, vectorized=True).glom()
     assert np.allclose(u, np.outer([by[i, 0] for i in range(9)], [by[i, 0] for i in range(9)]))
+
+
+def test_bodies_by_groups(spark, monkeypatch):
+    """Bodies of several groups pull each other without a join of pairs; a body alone has no pull, equal places and unknown masses none either."""
+    from gridloom.algorithms import simulation
+
+    monkeypatch.setattr(simulation, "SENT", 7)
+    monkeypatch.setattr(simulation, "TILE", 4)
+    r = np.random.default_rng(6)
+    x, m = r.normal(size=(30, 3)), r.random(30)
+    rows = [(3 * i, float(m[i]) if i != 11 else None, *map(float, x[i]), 0.0, 0.0, 0.0) for i in range(30)]
+    schema = "i0 long, m double, x double, y double, z double, vx double, vy double, vz double"
+    m[11] = 0
+    gap = x[None] - x[:, None]
+    r2 = (gap * gap).sum(2) + 1e-3
+    want = 0.01 * (gap * (m[None] / r2**1.5)[:, :, None]).sum(1)
+    got = sorted(simulation.nbody(spark.createDataFrame(rows, schema)).collect())
+    assert np.allclose([(g.vx, g.vy, g.vz) for g in got], want)
+    assert simulation.nbody(spark.createDataFrame(rows[:1], schema)).count() == 0
+    called = simulation.pulls(spark.createDataFrame(rows, schema), spark.createDataFrame(rows, schema), None, None, 1e-3)
+    assert "Join" not in called._jdf.queryExecution().executedPlan().toString()
