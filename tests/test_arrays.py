@@ -284,3 +284,31 @@ def test_parts_of_bounds(spark):
     df = sorting._parted(spark.createDataFrame([(v,) for v in values], "v double"), "v", bounds)
     got = {r.v: r["__part"] for r in df.collect()}
     assert got == {v: 2 * sum(b < v for b in bounds) + (v in bounds) for v in values}
+
+
+def test_products_of_a_long_inner_axis(g, monkeypatch):
+    """Elements go to the tasks by slices of the inner axis: blocks neither meet in a join nor gather in one task."""
+    from gridloom.algorithms import decomposition
+
+    monkeypatch.setattr(planner, "JOIN_PRODUCTS", 1)
+    a, b = R.normal(size=(6, 1300)), R.normal(size=(1300, 5))
+    out = linalg.dot(g(a), g(b))
+    same(out, a @ b)
+    assert "Join" not in out.df._jdf.queryExecution().executedPlan().toString()
+    counted, real = [], decomposition.kept
+    monkeypatch.setattr(decomposition, "kept", lambda df: counted.append(df) or real(df))
+    m = a @ a.T / 1300 + np.eye(6) * 10
+    x = linalg.dot(g(a), g(a.T)) / 1300.0 + creation.eye(6, dtype="float64") * 10.0
+    assert np.allclose(decomposition.conjugate_gradient(x, np.arange(6.0), 9), np.linalg.solve(m, np.arange(6.0)), atol=1e-5)
+    assert np.allclose(decomposition.jacobi(x, np.arange(6.0), 20), np.linalg.solve(m, np.arange(6.0)), atol=1e-5)
+    assert len(counted) == 2
+
+
+def test_custom_reduction_in_runs(spark):
+    """Lanes split over batches and tasks, in no order, without a group of pandas for each."""
+    df = spark.range(600).select((F.col("id") % 7).alias("i"), F.call_function("div", F.col("id"), F.lit(7)).alias("k"), F.col("id").cast("int").alias("v")).where("i < 7").repartition(5)
+    x = from_table(df, ["i", "k"], "v", (7, 86))
+    out = reduction.reduce(x, 1, "int32", lambda v: int(v.max()), max)
+    assert sorted(map(tuple, out.frame().collect())) == [(i, max(range(i, 600, 7))) for i in range(7)]
+    assert "FlatMapGroups" not in out.df._jdf.queryExecution().executedPlan().toString()
+    assert int(reduction.reduce(x, None, "int64", lambda v: int(v.sum()), lambda a, b: a + b).glom()) == sum(range(600))
