@@ -199,3 +199,22 @@ def test_bodies_by_groups(spark, monkeypatch):
     assert simulation.nbody(spark.createDataFrame(rows[:1], schema)).count() == 0
     called = simulation.pulls(spark.createDataFrame(rows, schema), spark.createDataFrame(rows, schema), None, None, 1e-3)
     assert "Join" not in called._jdf.queryExecution().executedPlan().toString()
+
+
+def test_strata_in_streams(spark):
+    """A task holds its items and one user; the factors are those of the ratings taken by user and item, part after part."""
+    r = np.random.default_rng(7)
+    lines = [(int(u), int(i), float(v)) for u, i, v in zip(r.integers(0, 9, 200), r.integers(0, 14, 200), r.random(200))]
+    frame = spark.createDataFrame(lines, "user long, item long, v double")
+    start = {(side, x.id): np.array(x.x) for side, f in zip("um", learning.sgd_factors(frame, 4, epochs=0, parts=2)) for x in f.collect()}
+    from pyspark.sql import functions as F
+
+    dealt = [tuple(x) for x in frame.select("user", "item", "v", F.pmod(F.xxhash64("user"), F.lit(2)), F.pmod(F.xxhash64("item"), F.lit(2))).collect()]
+    for s in range(2):
+        for user, item, v, a, b in sorted(dealt):
+            if (a + s) % 2 == b:
+                p, q = start["u", user], start["m", item]
+                e = v - p @ q
+                start["u", user], start["m", item] = p + 0.01 * (e * q - 0.02 * p), q + 0.01 * (e * p - 0.02 * q)
+    got = {(side, x.id): x.x for side, f in zip("um", learning.sgd_factors(frame, 4, epochs=1, parts=2)) for x in f.collect()}
+    assert got.keys() == start.keys() and all(np.allclose(got[k], start[k], atol=1e-12) for k in got)
